@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartei.llm.arrowtext import as_string, code_points, from_code_points
 from kartei.session import materialize
@@ -170,8 +171,7 @@ def with_form(df: DataFrame, column: str, into: str = "form") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, normalise_array(b.column(at))], names=[*keep, into])
 
-    schema = source.schema.add(into, "string")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def lookalike_pairs(df: DataFrame, key: str, column: str, rows_a_salt: int = 50_000) -> DataFrame:
