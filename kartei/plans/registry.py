@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,5 +36,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+MODULES = ("listing", "stats", "search")
+
+
 def _load() -> None:
-    pass
+    for name in MODULES:
+        importlib.import_module(f"kartei.plans.{name}")
