@@ -130,7 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins: the exact part of problem 6 is expressible; the others are tested in tests/llm."""
-    words = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), w -> w <> '')"
+    words = r"[x for x in regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+') if x <> '']"
     return {
         "p6_found": f"""
 with i as (select distinct item_id, {words.format('text')} as w from eval_items),
