@@ -36,7 +36,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-MODULES = ("listing", "stats", "search")
+MODULES = ("listing", "stats", "search", "sync")
 
 
 def _load() -> None:
