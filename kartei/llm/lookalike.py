@@ -130,9 +130,22 @@ def _compose(t: dict, p: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nd
         p, row = p[rest], row[rest]
 
 
+#: Bytes of text worked on at once: some forty bytes of working arrays go with each.
+BLOCK_BYTES = 1 << 20
+
+
 def normalise_array(arr: pa.Array) -> pa.StringArray:
-    """The consistent form of every row of an Arrow string array."""
-    arr, t = as_string(arr), tables()
+    """The consistent form of every row of an Arrow string array, in blocks of rows of bounded size."""
+    arr = as_string(arr)
+    off = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
+    cuts = [0]
+    while cuts[-1] < len(arr):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(off, off[cuts[-1]] + BLOCK_BYTES, "right")) - 1))
+    return pa.concat_arrays([_normalise(arr.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]) if len(cuts) > 1 else arr
+
+
+def _normalise(arr: pa.StringArray) -> pa.StringArray:
+    t = tables()
     n = len(arr)
     points, off = code_points(arr)
     row = np.repeat(np.arange(n), np.diff(off))
