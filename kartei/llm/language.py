@@ -40,6 +40,7 @@ CODE_OF = {n: c for c, names in NAMES.items() for n in names.split()}
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
 QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 NOISE = re.compile(r"\b\w+:/+\S+|/\S+/\S+|[\d_]+")
+BLOCK = 2000  # sentences scored at once
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -104,7 +105,7 @@ def classify(texts: list[str | None], model: Softmax) -> list[list[tuple[str, st
                 where.append(i), raw.append(s), bare.append(p)
     out: list[list] = [[] for _ in texts]
     if bare:
-        p = model.probabilities(*char_ngrams(bare))
+        p = np.concatenate([model.probabilities(*char_ngrams(bare[a : a + BLOCK])) for a in range(0, len(bare), BLOCK)])
         top = p.argmax(axis=1)
         for k, i in enumerate(where):
             words = bare[k].split()
