@@ -7,11 +7,12 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 64 * 1024
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def valid_utf8_prefix(data: pd.Series) -> pd.Series:
     """The longest prefix that is valid UTF-8; NULL for NULL, '' if the first byte is bad."""
 
@@ -34,7 +35,7 @@ def text_of(data: Column, max_bytes: int = 1 << 20) -> Column:
     return _text_of(F.substring(data, 1, max_bytes + 4), F.lit(max_bytes))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _text_of(data: pd.Series, budget: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else decode_text(bytes(b), int(n)) for b, n in zip(data, budget, strict=True)], dtype=object)
 
@@ -56,7 +57,7 @@ def decode_text(data: bytes, max_bytes: int) -> str:
         return cut.decode("cp1252", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ends_hash(data: pd.Series) -> pd.Series:
     """The wrapping sum of the size and of the first and last 64 KiB as 64-bit words, as hexadecimal; NULL for small files."""
 
@@ -72,7 +73,7 @@ def ends_hash(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def octal_unescape(text: pd.Series) -> pd.Series:
     r"""\ooo triplets as the bytes they stand for."""
     import re
@@ -86,7 +87,7 @@ def octal_unescape(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def guess_encoding(data: pd.Series) -> pd.Series:
     """utf-8, utf-16 with a mark, or windows-1252."""
 

@@ -36,7 +36,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-MODULES = ("listing", "stats", "search", "sync", "scalars")
+MODULES = ("listing", "stats", "search", "sync", "scalars", "extraction")
 
 
 def _load() -> None:
