@@ -11,22 +11,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FILE_SYSTEM = "tracker:FileSystem"
 CONTENT_GRAPHS = ("tracker:Documents", "tracker:Pictures", "tracker:Audio", "tracker:Video", "tracker:Software")
 
-FILES = T.StructType.fromDDL(
-    "graph string, url string, file_name string, file_size bigint, mtime timestamp, atime timestamp, ctime timestamp, container_urn string, data_source string, interpreted_as array<string>, extractor_hash string"
-)
-IES = T.StructType.fromDDL(
-    "graph string, urn string, mime_type string, rdf_types array<string>, stored_as array<string>, title string, ie_comment string, ie_language string, plain_text string, tags array<string>, genre string, artist string, performers array<string>, composer string, lyricist string, album string, album_disc string, content_created timestamp"
-)
-ROOTS = T.StructType.fromDDL("urn string, url string, available boolean, is_removable boolean, recurse boolean, preserve boolean")
-FOLDERS = T.StructType.fromDDL("urn string, url string, mime_type string")
-ARTISTS = T.StructType.fromDDL("urn string, artist_name string")
-TAGS = T.StructType.fromDDL("urn string, pref_label string, description string")
-EVENTS = T.StructType.fromDDL("seq bigint, ts timestamp, received timestamp, op string, file_url string, dest_url string, is_dir boolean, attributes_only boolean")
+FILES = "graph string, url string, file_name string, file_size bigint, mtime timestamp, atime timestamp, ctime timestamp, container_urn string, data_source string, interpreted_as array<string>, extractor_hash string"
+IES = "graph string, urn string, mime_type string, rdf_types array<string>, stored_as array<string>, title string, ie_comment string, ie_language string, plain_text string, tags array<string>, genre string, artist string, performers array<string>, composer string, lyricist string, album string, album_disc string, content_created timestamp"
+ROOTS = "urn string, url string, available boolean, is_removable boolean, recurse boolean, preserve boolean"
+FOLDERS = "urn string, url string, mime_type string"
+ARTISTS = "urn string, artist_name string"
+TAGS = "urn string, pref_label string, description string"
+EVENTS = "seq bigint, ts timestamp, received timestamp, op string, file_url string, dest_url string, is_dir boolean, attributes_only boolean"
 
 # Sub-class edges of the public Nepomuk ontologies that the catalogue uses.
 SUB_CLASS = {

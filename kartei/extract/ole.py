@@ -25,7 +25,8 @@ class Compound:
         sectors = [s for s in struct.unpack_from("<109I", data, 76) if s < FREE]
         self.fat = [x for s in sectors for x in self._numbers(s)]
         directory = self._chain(first_dir)
-        self.mini_fat = [x for k in range(0, len(m := self._chain(first_mini)), 4) for x in struct.unpack_from("<I", m, k)] if first_mini < FREE else []
+        mini = self._chain(first_mini)
+        self.mini_fat = list(struct.unpack(f"<{len(mini) // 4}I", mini[: len(mini) // 4 * 4]))
         self.entries: dict[str, tuple[int, int]] = {}
         root = None
         for k in range(0, len(directory) - 127, 128):

@@ -47,7 +47,7 @@ def x09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", "title", F.col("props")["nfo:pageCount"][0].cast("int").alias("pages"), F.col("props")["nie:contentCreated"][0].alias("created"))
 
 
-@query("x12_playlist", "select l_orderkey::varchar as url, (row_number() over (partition by l_orderkey order by l_linenumber, '#EXTINF:' || l_suppkey || ',Part' || chr(10) || 'song-' || l_partkey))::int as position, 'song-' || l_partkey || '.mp3' as entry, sum(l_suppkey) over (partition by l_orderkey) as seconds from lineitem")
+@query("x12_playlist", "select l_orderkey::varchar as url, (row_number() over (partition by l_orderkey order by l_linenumber, '#EXTINF:' || l_suppkey || ',Part' || chr(10) || 'song-' || l_partkey))::int as position, 'song-' || l_partkey || '.mp3' as entry, nullif(sum(l_suppkey) over (partition by l_orderkey), 0) as seconds from lineitem")
 def x12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as playlists of their lines."""
     line = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
