@@ -6,7 +6,7 @@ A document that holds a seed is aligned with the item word by word (Smith-Waterm
 seeds; the score finds edited copies. The exact test follows: runs of at least ``run`` words in common must cover at
 least ``share`` of the item's words.
 
-Defined results: NULL or empty texts match nothing; items shorter than a run never match; an item repeated under several
+Defined results: NULL or empty texts match nothing; NULL ids are kept as they are; items shorter than a run never match; an item repeated under several
 ids matches under each; several copies of a passage count once; documents of any length are read whole.
 """
 
@@ -63,7 +63,7 @@ def grams(hashes: np.ndarray, run: int) -> np.ndarray:
 class Items:
     """A block of items: their word hashes and the postings of their n-grams."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], run: int, share: float):
+    def __init__(self, rows: list[tuple[str | None, str | None]], run: int, share: float):
         h = Hasher()
         self.run, self.share = run, share
         self.ids = [i for i, _ in rows]
@@ -135,7 +135,7 @@ def windows(at: np.ndarray, run: int, reach: int, size: int) -> list[tuple[int,
     return [(max(0, int(at[i]) - reach), min(size, int(at[j]) + run + reach)) for i, j in zip([0, *(cut + 1)], [*cut, len(at) - 1], strict=True)]
 
 
-def match(doc: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
+def match(doc: np.ndarray, items: Items) -> list[tuple[str | None, int, int, int, int]]:
     """(item id, alignment score, words covered, words of the item, seeds) of every candidate that passes alignment."""
     out = []
     for k, (where, at) in items.candidates(doc).items():
@@ -153,27 +153,28 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     Items are held in blocks of ``block_items``; each block is a pass over the documents.
     """
     spark = docs.sparkSession
-    query = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
+    query = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
     blocks = max(1, -(-query.count() // block_items))
     kind, other = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"{doc_id} {kind}, {item_id} {other}, score double, covered int, item_words int, seeds int, leaked boolean"
-    source = docs.select(doc_id, text).where(F.col(text).isNotNull())
+    # ids pass through Python as strings: a missing number would turn the others into floats
+    schema = "d string, i string, score double, covered int, item_words int, seeds int, leaked boolean"
+    source = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t")).where("t is not null")
     found = []
     for n in range(blocks):
         rows = query.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n) if blocks > 1 else query
-        block = Items(sorted((r.i, r.t) for r in rows.where("t is not null").collect()), run, share)
+        block = Items(sorted(((r.i, r.t) for r in rows.where("t is not null").collect()), key=str), run, share)
         shared = spark.sparkContext.broadcast(block)
 
         def count(batches, shared=shared):
             h, total = Hasher(), np.zeros(len(shared.value.grams), np.int64)
             for b in batches:
-                for t in b[text]:
+                for t in b["t"]:
                     n = shared.value.find(grams(h.of(words_of(t)), run))
                     np.add.at(total, np.unique(n[n >= 0]), 1)
             at = np.flatnonzero(total)
             yield pd.DataFrame({"g": at, "n": total[at]})
 
-        counted = source.select(text).mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+        counted = source.select("t").mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
         total = np.zeros(len(block.grams), np.int64)
         total[counted["g"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
         block.keep_rare(total)
@@ -182,8 +183,9 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         def run_block(batches, seeded=seeded):
             h = Hasher()
             for b in batches:
-                out = [(d, i, s / (MATCH * m), c, m, k, c >= m * share) for d, t in zip(b[doc_id], b[text], strict=True) for i, s, c, m, k in match(h.of(words_of(t)), seeded.value)]
-                yield pd.DataFrame(out, columns=[doc_id, item_id, "score", "covered", "item_words", "seeds", "leaked"])
+                out = [(d, i, s / (MATCH * m), c, m, k, c >= m * share) for d, t in zip(b["d"], b["t"], strict=True) for i, s, c, m, k in match(h.of(words_of(t)), seeded.value)]
+                yield pd.DataFrame(out, columns=["d", "i", "score", "covered", "item_words", "seeds", "leaked"])
 
         found.append(source.mapInPandas(run_block, schema))
-    return functools.reduce(DataFrame.unionByName, found)
+    out = functools.reduce(DataFrame.unionByName, found)
+    return out.select(F.col("d").cast(kind).alias(doc_id), F.col("i").cast(other).alias(item_id), "score", "covered", "item_words", "seeds", "leaked")

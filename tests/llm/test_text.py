@@ -338,6 +338,35 @@ def test_leaks_match_brute_force(spark):
     assert empty.count() == 0
 
 
+BIG = 2**60 + 1
+
+
+def test_ids_pass_unchanged(spark, tiny):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(BIG, text, "s", 1), (None, text, None, 2)], "doc_id long, text string, source string, score int")
+    items = spark.createDataFrame([(BIG + 2, text, "x"), (None, text, "y")], "item_id long, text string, d string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").where("leaked").collect()}
+    assert got == {(d, i) for d in (BIG, None) for i in (BIG + 2, None)}
+    samples = spark.read.parquet(f"{tiny}/moderation_samples.parquet")
+    scored = toxicity.score_documents(docs, "doc_id", "text", "source", samples, "text", "is_abusive")[0]
+    assert {(r.doc_id, r.source) for r in scored.collect()} == {(BIG, "s"), (None, None)}
+
+
+def test_null_keys_and_clashing_columns(spark):
+    rows = [(None, "a b", "Rokc", "It was la", "en", ["f"], 1), ("u", "a b", None, None, None, None, 2), ("w", "a b", "Rock ", "", "x", [], 3)]
+    names = "urn string, title string, genre string, plain_text string, ie_language string, stored_as array<string>"
+    ies = spark.createDataFrame(rows, f"{names}, extra int")
+    for n in ("form", "k", "v", "value", "entry", "lang", "segment", "t", "urls", "source", "n_chars", "ending", "_code", "field_name", "salt", "n"):
+        ies = ies.withColumn(n, F.lit("clash"))
+    assert lookalike.lookalike_pairs(ies, "urn", "title").count() == 0
+    genres = spark.createDataFrame(GENRES, "genre_id int, pref_label string, alt_labels array<string>")
+    assert {(r.urn, r.entry) for r in canonical.map_rows(ies, "urn", "genre", genres, "genre_id", "pref_label", "alt_labels").collect()} == {(None, 1), ("w", 1)}
+    assert encoding.find_garbled(ies, "urn", {"title": "title", "plain_text": "plain_text"}).count() == 0
+    assert language.find_label_errors(ies, "urn", "plain_text", "ie_language").count() >= 0
+    files = spark.createDataFrame([("f", "s", 1), (None, "s", 2)], "url string, data_source string, ending int")
+    assert [r.urn for r in truncation.find_cut(ies, "urn", "plain_text", "stored_as", files, "url", "data_source")[0].where("cut").collect()] == [None]
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
