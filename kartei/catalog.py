@@ -112,6 +112,10 @@ class Catalog:
         """Distinct narrow rows of the files of a graph."""
         return self.in_graph("files", graph).select(*columns).distinct()
 
+    def located(self, *columns: str, graph: str = FILE_SYSTEM) -> DataFrame:
+        """The same rows with duplicates: for joins whose result is made distinct anyway."""
+        return self.in_graph("files", graph).select(*columns)
+
     def register(self, prefix: str = "") -> None:
         """Temporary views for ad-hoc SQL."""
         for name in ("files", "ies", "roots", "folders", "artists", "tags"):

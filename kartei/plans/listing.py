@@ -15,9 +15,9 @@ CONTENT = {"documents": ("tracker:Documents", "nfo:Document"), "images": ("track
 
 def list_all(c: Catalog, show_all: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
     """(urn, url) of every interpretation of a file."""
-    files = with_availability(c.data_objects("url", "data_source"), c.roots, show_all).select("url")
-    ies = explode_links(c.ies.select("urn", "stored_as"), "stored_as", "url").distinct()
-    return page(ies.join(files, "url").select("urn", "url").distinct(), ["url", "urn"], offset, limit)
+    files = with_availability(c.located("url", "data_source"), c.roots, show_all).select("url")
+    ies = explode_links(c.ies.select("urn", "stored_as"), "stored_as", "url")
+    return page(ies.join(files, "url", "left_semi").select("urn", "url").distinct(), ["url", "urn"], offset, limit)
 
 
 def list_files(c: Catalog, show_all: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
@@ -38,9 +38,9 @@ def list_folders(c: Catalog, show_all: bool = False, offset: int = 0, limit: int
 def list_content(c: Catalog, kind: str, show_all: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
     """(urn, url) of the interpretations of one content graph."""
     graph, cls = CONTENT[kind]
-    files = with_availability(c.data_objects("url", "data_source", graph=graph), c.roots, show_all).select("url").distinct()
-    ies = explode_links(c.in_graph("ies", graph).where(is_a(F.col("rdf_types"), cls)).select("urn", "stored_as"), "stored_as", "url").distinct()
-    return page(ies.join(files, "url", "left_semi").select("urn", "url"), ["url", "urn"], offset, limit)
+    files = with_availability(c.located("url", "data_source", graph=graph), c.roots, show_all).select("url")
+    ies = explode_links(c.in_graph("ies", graph).where(is_a(F.col("rdf_types"), cls)).select("urn", "stored_as"), "stored_as", "url")
+    return page(ies.join(files, "url", "left_semi").select("urn", "url").distinct(), ["url", "urn"], offset, limit)
 
 
 def albums(c: Catalog) -> DataFrame:
@@ -54,8 +54,8 @@ def list_albums(c: Catalog, offset: int = 0, limit: int = -1) -> DataFrame:
 
 def list_artists(c: Catalog, show_all: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
     """(urn, artist_name) of the artists with a song on a file."""
-    files = with_availability(c.data_objects("url", "data_source", graph="tracker:Audio"), c.roots, show_all).select("url").distinct()
-    songs = explode_links(c.in_graph("ies", "tracker:Audio").select("artist", "stored_as").where("artist is not null"), "stored_as", "url").distinct()
+    files = with_availability(c.located("url", "data_source", graph="tracker:Audio"), c.roots, show_all).select("url")
+    songs = explode_links(c.in_graph("ies", "tracker:Audio").select("artist", "stored_as").where("artist is not null"), "stored_as", "url")
     found = songs.join(files, "url", "left_semi").select(F.col("artist").alias("urn")).distinct()
     return page(c.artists.select("urn", "artist_name").distinct().join(found, "urn", "left_semi"), ["artist_name", "urn"], offset, limit)
 

@@ -66,11 +66,11 @@ def _text() -> list[Column]:
 def search_content(c: Catalog, kind: str, terms: list[str], detailed: bool = False, show_all: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
     """(urn, url, snippet) of the interpretations of a content graph."""
     graph, cls = listing.CONTENT[kind]
-    files = with_availability(c.data_objects("url", "data_source", graph=graph), c.roots, show_all).select("url").distinct()
+    files = with_availability(c.located("url", "data_source", graph=graph), c.roots, show_all).select("url")
     hit = c.in_graph("ies", graph).where(is_a(F.col("rdf_types"), cls) & matches(terms, *_text()))
     shown = snippet(F.concat_ws(" ", *_text()), terms) if detailed else F.lit("")
-    found = explode_links(hit.select("urn", "stored_as", shown.alias("snippet")), "stored_as", "url").distinct()
-    return page(found.join(files, "url", "left_semi").select("urn", "url", "snippet"), ["url", "urn"], offset, limit)
+    found = explode_links(hit.select("urn", "stored_as", shown.alias("snippet")), "stored_as", "url")
+    return page(found.join(files, "url", "left_semi").select("urn", "url", "snippet").distinct(), ["url", "urn"], offset, limit)
 
 
 def search_files(c: Catalog, terms: list[str], detailed: bool = False, show_all: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
@@ -87,12 +87,12 @@ def search_folders(c: Catalog, terms: list[str], show_all: bool = False, offset:
 
 def search_all(c: Catalog, terms: list[str], detailed: bool = False, show_all: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
     """(elem, url, snippet): files by name, and interpretations of every graph by their texts."""
-    files = c.data_objects("url", "data_source", "file_name")
+    files = c.located("url", "data_source", "file_name")
     named = files.where(matches(terms, F.col("file_name"))).select(F.lit(None).cast("string").alias("elem"), "url", (snippet(F.col("file_name"), terms) if detailed else F.lit("")).alias("snippet"))
     shown = snippet(F.concat_ws(" ", *_text()), terms) if detailed else F.lit("")
     meant = explode_links(c.ies.where(matches(terms, *_text())).select(F.col("urn").alias("elem"), "stored_as", shown.alias("snippet")), "stored_as", "url").select("elem", "url", "snippet")
-    seen = with_availability(files.select("url", "data_source"), c.roots, show_all).select("url").distinct()
-    return page(named.unionByName(meant).distinct().join(seen, "url", "left_semi").select("elem", "url", "snippet"), ["url", "elem"], offset, limit)
+    seen = with_availability(files.select("url", "data_source"), c.roots, show_all).select("url")
+    return page(named.unionByName(meant).join(seen, "url", "left_semi").select("elem", "url", "snippet").distinct(), ["url", "elem"], offset, limit)
 
 
 def search_albums(c: Catalog, terms: list[str]) -> DataFrame:

@@ -86,8 +86,8 @@ def root_content(c: Catalog) -> DataFrame:
 
 def pending(c: Catalog) -> DataFrame:
     """(graph, url) of data objects in content graphs whose file has no extractor hash."""
-    done = c.in_graph("files", FILE_SYSTEM).where("extractor_hash is not null").select("url").distinct()
-    return c.in_graph("files", None).select("graph", "url").distinct().join(done, "url", "left_anti")
+    done = c.in_graph("files", FILE_SYSTEM).where("extractor_hash is not null").select("url")
+    return c.in_graph("files", None).select("graph", "url").join(done, "url", "left_anti").distinct()
 
 
 def pending_items(c: Catalog, high: tuple[str, ...] = ("tracker:Audio",)) -> DataFrame:
