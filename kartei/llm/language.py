@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartei.llm.arrowtext import sentences
-from kartei.llm.encoding import undo_plain
+from kartei.llm.encoding import invert, undo_plain
 from kartei.llm.ftrl import Softmax, fit
 
 # ISO 639 codes and names of the languages, in English and in themselves.
@@ -40,6 +40,7 @@ CODE_OF = {n: c for c, names in NAMES.items() for n in names.split()}
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
 QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 NOISE = re.compile(r"\b\w+:/+\S+|/\S+/\S+|[\d_]+")
+ACCENTED = frozenset(map(chr, range(0xC0, 0x100)))
 BLOCK = 2000  # sentences scored at once
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -51,6 +52,15 @@ def label_code(column):
     return F.try_element_at(names, first)
 
 
+def readable(sentence: str) -> str:
+    """A sentence with plain garbling undone: UTF-8 chains, and Cyrillic shown as accented Latin letters."""
+    s = undo_plain(sentence)
+    letters = LETTERS.findall(s)
+    if sum(c in ACCENTED for w in letters for c in w) > 0.6 * sum(map(len, letters)):
+        return invert(s, "cp1251 as cp1252") or s
+    return s
+
+
 def plain(sentence: str) -> str:
     """What of a sentence shows its language: no quotes, paths or numbers."""
     whole = NOISE.sub(" ", sentence)
@@ -84,7 +94,7 @@ def train(labelled: list[tuple[str, str]], most: int = 12_000, seed: int = 3) ->
     """labelled: (text, language)."""
     rng = np.random.default_rng(seed)
     raw = dict.fromkeys((s, LANGUAGES.index(lang)) for text, lang in labelled for s in sentences(text))
-    pool = [(p, y) for s, y in raw if len((p := plain(undo_plain(s))).split()) > 2]
+    pool = [(p, y) for s, y in raw if len((p := plain(readable(s))).split()) > 2]
     pool = [pool[i] for i in rng.permutation(len(pool))[:most]]
     model = None
     for _ in range(2):
@@ -100,7 +110,7 @@ def classify(texts: list[str | None], model: Softmax) -> list[list[tuple[str, st
     where, raw, bare = [], [], []
     for i, t in enumerate(texts):
         for s in sentences(t or ""):
-            p = plain(undo_plain(s))
+            p = plain(readable(s))
             if not p.isspace():
                 where.append(i), raw.append(s), bare.append(p)
     out: list[list] = [[] for _ in texts]
