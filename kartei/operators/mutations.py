@@ -53,8 +53,8 @@ def move_file(c: Catalog, source: str, dest: str, data_source: str | None = None
     """A file under another url: name, url, container and source change, the rest is kept; content copies have no container."""
     name, parent = dest.rsplit("/", 1)[1], dest.rsplit("/", 1)[0]
     hit, fs = F.col("url") == source, F.col("graph") == FILE_SYSTEM
-    container = c.folders.where(F.col("url") == parent).agg(F.max("urn").alias("_container"))  # one row
-    files = c.files.crossJoin(F.broadcast(container))
+    container = c.folders.where(F.col("url") == parent).agg(F.max("urn"))
+    files = c.files.withColumn("_container", container.scalar())
     files = files.withColumn("file_name", F.when(hit, F.lit(name)).otherwise(F.col("file_name"))).withColumn("container_urn", F.when(hit, F.when(fs, F.col("_container"))).otherwise(F.col("container_urn")))
     if data_source is not None:
         files = files.withColumn("data_source", F.when(hit, F.lit(data_source)).otherwise(F.col("data_source")))
@@ -124,9 +124,9 @@ def tag_files(c: Catalog, links: DataFrame) -> Catalog:
 
 def untag(c: Catalog, label: str, url: str | None = None, drop_tag: bool = False) -> Catalog:
     """Remove the tag of a label from what is stored at a url, or from everything; drop_tag removes the tag as well."""
-    tag = c.tags.where(F.col("pref_label") == label).agg(F.coalesce(F.collect_set("urn"), F.array().cast("array<string>")).alias("_gone"))  # one row
+    tag = c.tags.where(F.col("pref_label") == label).agg(F.coalesce(F.collect_set("urn"), F.array().cast("array<string>")))
     there = F.lit(True) if url is None else F.array_contains("stored_as", url)
-    ies = c.ies.crossJoin(F.broadcast(tag)).withColumn("tags", F.when(there, F.array_except("tags", "_gone")).otherwise(F.col("tags"))).drop("_gone")
+    ies = c.ies.withColumn("_gone", tag.scalar()).withColumn("tags", F.when(there, F.array_except("tags", "_gone")).otherwise(F.col("tags"))).drop("_gone")
     return replace(c, ies=ies, tags=c.tags.where(F.col("pref_label") != label) if drop_tag else c.tags)
 
 

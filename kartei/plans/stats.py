@@ -176,9 +176,8 @@ def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog.load(spark, sf_dir)
     first = c.files.agg(F.min("url")).first()[0]
     fs = c.in_graph("files", FILE_SYSTEM)
-    found = fs.agg(F.coalesce(F.bool_or(F.col("url") == first), F.lit(False)).alias("known"), F.coalesce(F.bool_or(F.col("url") == "file:///nowhere"), F.lit(False)).alias("unknown"))
     left = pending(c).agg((F.count(F.lit(1)) > 0).alias("unextracted"))
-    return found.crossJoin(left)  # one row each
+    return fs.agg(F.coalesce(F.bool_or(F.col("url") == first), F.lit(False)).alias("known"), F.coalesce(F.bool_or(F.col("url") == "file:///nowhere"), F.lit(False)).alias("unknown")).withColumn("unextracted", left.scalar())
 
 
 @query("r22_index_roots", "select distinct url, is_removable from roots")
