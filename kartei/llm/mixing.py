@@ -52,12 +52,12 @@ def count_tokens(df: DataFrame, text: str, into: str = "n_tokens", folder: str =
 
 
 def rates(sizes: DataFrame, targets: DataFrame, source: str, share: str, repeats: str, total_tokens: int | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, source_tokens, total, rate) of every source with a target, by one window."""
+    """(source, target_share, max_repeats, source_tokens, total, rate) of every source with a target."""
     joined = targets.select(F.col(source), F.col(share).alias("target_share"), F.col(repeats).alias("max_repeats")).where(F.col(source).isNotNull()).distinct().join(sizes, source, "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
     most = F.when((F.col("target_share") > 0) & (F.col("source_tokens") > 0), F.col("source_tokens") * F.col("max_repeats") / F.col("target_share"))
     total = joined.agg(F.coalesce(F.lit(total_tokens).cast("double"), F.min(most), F.lit(0.0)).alias("total"))
     rate = F.when(F.col("source_tokens") > 0, F.least(F.col("total") * F.col("target_share") / F.col("source_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return joined.crossJoin(F.broadcast(total)).withColumn("rate", F.coalesce(rate, F.lit(0.0)))  # total is one row
+    return joined.withColumn("total", total.scalar()).withColumn("rate", F.coalesce(rate, F.lit(0.0)))
 
 
 def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame, share: str = "target_share", repeats: str = "max_repeats", total_tokens: int | None = None, seed: int = 17, folder: str = TOKENIZERS, name: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +75,6 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame
     used = used.where("uses > 0").select(doc_id, source, "n_tokens", "uses")
     actual = used.groupBy(source).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     whole = actual.agg(F.sum("used_tokens").alias("all_tokens"))
-    shares = rate.join(actual, source, "left").crossJoin(F.broadcast(whole))  # whole is one row
+    shares = rate.join(actual, source, "left").withColumn("all_tokens", whole.scalar())
     shares = shares.select(source, "target_share", "max_repeats", "source_tokens", "rate", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
     return used, shares
