@@ -58,7 +58,7 @@ def tracks(audio: DataFrame) -> DataFrame:
 
 def as_jsonld(ies: DataFrame) -> DataFrame:
     """(urn, json): each interpretation as a JSON-LD object, by a built-in."""
-    props = F.map_from_entries(F.concat(F.array(F.struct(F.lit("nie:mimeType"), F.array("mime_type"))), F.when(F.col("title").isNotNull(), F.array(F.struct(F.lit("nie:title"), F.array("title")))).otherwise(F.array().cast("array<struct<a:string,b:array<string>>>"))))
+    props = F.struct(F.when(F.col("mime_type").isNotNull(), F.array("mime_type")).alias("nie:mimeType"), F.when(F.col("title").isNotNull(), F.array("title")).alias("nie:title"))
     return ies.select("urn", F.to_json(F.struct(F.col("urn").alias("@id"), F.col("rdf_types").alias("@type"), props.alias("properties"))).alias("json"))
 
 

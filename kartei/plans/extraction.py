@@ -163,3 +163,99 @@ select time_bucket(interval 1 hour, ts, timestamp '2000-01-01 00:00:00'::timesta
 def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and kind."""
     return queue.windows(_read(spark, sf_dir, "change_events"))
+
+
+@query("q18_trig", """
+with p as (select graph, urn, 'a ' || unnest(rdf_types) as l from ies union select graph, urn, 'nie:mimeType "' || mime_type || '"' from ies where mime_type is not null)
+select graph, urn as s, 'GRAPH ' || graph || ' { <' || urn || '> ' || string_agg(l, ' ;' || chr(10) || '  ' order by l) || ' . }' as text from p group by graph, urn""")
+def q18b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = stats.quads(Catalog.load(spark, sf_dir)).where("p in ('rdf:type', 'nie:mimeType') and s like 'urn:%'")
+    return pipeline.as_turtle(q, named_graphs=True)
+
+
+@query("q18_jsonld", """
+select distinct urn, '{"@id":"' || urn || '","@type":["' || array_to_string(rdf_types, '","') || '"],"properties":{"nie:mimeType":["' || mime_type || '"]}}' as json from ies where mime_type is not null and (title is null or regexp_matches(title, '[^ -~]|["/\\\\]'))""")
+def q18c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _read(spark, sf_dir, "ies").where(F.col("mime_type").isNotNull() & (F.col("title").isNull() | F.col("title").rlike(r'[^ -~]|["/\\]')))
+    return pipeline.as_jsonld(i.select("urn", "rdf_types", "mime_type", F.lit(None).cast("string").alias("title"))).distinct()
+
+
+def _be(x, digits: int):
+    """A number as big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(x.cast("long")), digits, "0"))
+
+
+def _le(x, digits: int):
+    """A number as little-endian bytes."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * k).bitwiseAND(255)), 2, "0")) for k in range(digits // 2)])
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    p = lambda k: F.col("props")[k][0].cast("int")
+    return extract(df).select("url", p("nfo:width").alias("width"), p("nfo:height").alias("height"))
+
+
+@query("x08_abiword", "select s_suppkey::varchar as url, s_name as title, 'Supplier ' || s_nationkey || ' of ' || s_suppkey as plain_text from supplier")
+def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit('<abiword><metadata><m key="dc.title">'), "s_name", F.lit("</m></metadata><section><p>Supplier <c>"), F.col("s_nationkey").cast("string"), F.lit("</c></p><p>of "), F.col("s_suppkey").cast("string"), F.lit("</p></section></abiword>"))
+    return extract(_as_files(_read(spark, sf_dir, "supplier"), "s_suppkey", F.encode(t, "UTF-8"), "abw", "application/x-abiword")).select("url", "title", "plain_text")
+
+
+@query("x11_desktop", "select s_suppkey::varchar as url, case when s_nationkey % 3 > 0 then s_name end as title, case when s_nationkey % 3 > 0 then 'run ' || s_nationkey end as command, s_nationkey % 3 = 0 as failed from supplier")
+def x11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without a command are rejected."""
+    t = F.concat(F.lit("[Desktop Entry]\nType=Application\nName="), "s_name", F.when(F.col("s_nationkey") % 3 > 0, F.concat(F.lit("\nExec=run "), F.col("s_nationkey").cast("string"))).otherwise(""), F.lit("\n"))
+    out = extract(_as_files(_read(spark, sf_dir, "supplier"), "s_suppkey", F.encode(t, "UTF-8"), "desktop", "application/x-desktop"))
+    return out.select("url", "title", F.col("props")["nfo:softwareCmdLine"][0].alias("command"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("x13_id3", "select c_custkey::varchar as url, c_name as title, c_mktsegment as artist, (c_nationkey + 1)::int as track from customer")
+def x13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ID3v2.4 frames for the title and the artist, an old tag at the end with a title that must not win."""
+    frame = lambda name, v: F.concat(F.encode(F.lit(name), "US-ASCII"), _be(F.length(v) + 1, 8), F.unhex(F.lit("000003")), F.encode(v, "UTF-8"))
+    track = (F.col("c_nationkey") + 1).cast("string")
+    frames = F.concat(frame("TIT2", F.col("c_name")), frame("TPE1", F.col("c_mktsegment")), frame("TRCK", F.concat(track, F.lit("/99"))))
+    old = F.encode(F.rpad(F.lit("TAGold title"), 128, " "), "US-ASCII")
+    tag = F.concat(F.encode(F.lit("ID3"), "US-ASCII"), F.unhex(F.lit("040000")), _be(F.octet_length(frames) + F.shiftright(F.octet_length(frames), 7) * 128, 8), frames, old)
+    out = extract(_as_files(_read(spark, sf_dir, "customer"), "c_custkey", tag, "mp3", "audio/mpeg"))
+    return out.select("url", "title", F.col("props")["nmm:artist"][0].alias("artist"), F.col("props")["nmm:trackNumber"][0].cast("int").alias("track"))
+
+
+_SIZES = "select p_partkey::varchar as url, p_size as width, (p_partkey % 5000 + 1)::int as height from part"
+
+
+@query("x18_png", _SIZES)
+def x18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), _be(F.col("p_size"), 8), _be(F.col("p_partkey") % 5000 + 1, 8), F.unhex(F.lit("0806000000000000000000000049454E4400000000")))
+    return _sizes(_as_files(_read(spark, sf_dir, "part"), "p_partkey", head, "png", "image/png"))
+
+
+@query("x20_gif", _SIZES)
+def x20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.encode(F.lit("GIF89a"), "US-ASCII"), _le(F.col("p_size"), 4), _le(F.col("p_partkey") % 5000 + 1, 4), F.unhex(F.lit("0000003B")))
+    return _sizes(_as_files(_read(spark, sf_dir, "part"), "p_partkey", head, "gif", "image/gif"))
+
+
+@query("x22_bmp", _SIZES)
+def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.encode(F.lit("BM"), "US-ASCII"), F.unhex(F.lit("00" * 12)), _le(F.lit(40), 8), _le(F.col("p_size"), 8), _le(F.col("p_partkey") % 5000 + 1, 8))
+    return _sizes(_as_files(_read(spark, sf_dir, "part"), "p_partkey", head, "bmp", "image/bmp"))
+
+
+@query("x17_jpeg", _SIZES)
+def x17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.unhex(F.lit("FFD8FFC0000B08")), _be(F.col("p_partkey") % 5000 + 1, 4), _be(F.col("p_size"), 4), F.unhex(F.lit("01011100FFD9")))
+    return _sizes(_as_files(_read(spark, sf_dir, "part"), "p_partkey", head, "jpeg", "image/jpeg"))
+
+
+@query("sc31_octal", "select p_partkey, 'é ' || p_name as plain from part")
+def sc31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", binary.octal_unescape(F.concat(F.lit("\\303\\251\\040"), "p_name")).alias("plain"))
+
+
+@query("f12_usable_roots", "select url from (select distinct url from roots union select * from (values ('file:///proc/x'), ('file:///device'), ('file:///tmp'))) where not regexp_matches(url, '^file:///(dev|lib|proc|sys|tmp)(/|$)')")
+def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kartei.operators.eligibility import usable_roots
+
+    more = spark.createDataFrame([("file:///proc/x",), ("file:///device",), ("file:///tmp",)], "url string")
+    return usable_roots(_read(spark, sf_dir, "roots").select("url").distinct().union(more))
