@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,25 @@ def build_session(master: str = "local[8]", app: str = "kartei", shuffle_partiti
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable for the Python workers of a session, wherever they run; once a session.
+
+    The driver serves the package to the executors, as it does for any --py-files.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_kartei_shipped", False):
+        package = Path(__file__).resolve().parent
+        if package.parent.is_dir():
+            out = Path(tempfile.mkdtemp(prefix="kartei-package-"), "kartei.zip")
+            with zipfile.ZipFile(out, "w") as z:
+                for f in sorted(package.rglob("*.py")):
+                    z.write(f, f.relative_to(package.parent))
+            sc.addPyFile(str(out))
+        sc._kartei_shipped = True
+    return spark
 
 
 def materialize(df: DataFrame) -> DataFrame:
