@@ -135,12 +135,32 @@ def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.current(saved, f.withColumnRenamed("uri", "url"), ["0"]).select("uri")
 
 
-@query("q18_turtle", """
-with p as (select urn, 'a ' || unnest(rdf_types) as l from ies union select urn, 'nie:mimeType "' || mime_type || '"' from ies where mime_type is not null)
-select urn as s, '<' || urn || '> ' || string_agg(l, ' ;' || chr(10) || '  ' order by l) || ' .' as text from p group by urn""")
+_TRIPLES = r"""
+f as (select graph, url as s, unnest([{'p': 'nie:url', 'o': url}, {'p': 'nfo:fileName', 'o': file_name}, {'p': 'nfo:fileSize', 'o': file_size::varchar}, {'p': 'nfo:belongsToContainer', 'o': container_urn}, {'p': 'nie:dataSource', 'o': data_source}, {'p': 'tracker:extractorHash', 'o': extractor_hash}]) as x from files),
+i as (select graph, urn as s, unnest([{'p': 'nie:mimeType', 'o': mime_type}, {'p': 'nie:title', 'o': title}, {'p': 'nie:comment', 'o': ie_comment}, {'p': 'nie:language', 'o': ie_language}, {'p': 'nfo:genre', 'o': genre}, {'p': 'nmm:artist', 'o': artist}, {'p': 'nmm:composer', 'o': composer}, {'p': 'nmm:lyricist', 'o': lyricist}, {'p': 'nmm:musicAlbum', 'o': album}, {'p': 'nmm:musicAlbumDisc', 'o': album_disc}]) as x from ies),
+q as (select graph, s, x.p as p, x.o as o from f where x.o is not null union select graph, s, x.p, x.o from i where x.o is not null
+union select graph, url, 'nie:interpretedAs', unnest(interpreted_as) from files union select graph, urn, 'rdf:type', unnest(rdf_types) from ies union select graph, urn, 'nie:isStoredAs', unnest(stored_as) from ies
+union select graph, urn, 'nao:hasTag', unnest(tags) from ies union select graph, urn, 'nmm:performer', unnest(performers) from ies),
+l as (select graph, s, case when p = 'rdf:type' then 'a' else p end || ' ' || case when p in ('rdf:type', 'nie:isStoredAs', 'nie:interpretedAs', 'nao:hasTag', 'nie:dataSource', 'nfo:belongsToContainer', 'nie:url') or regexp_full_match(o, '(urn|file):\S+')
+then case when regexp_full_match(o, '[\w.-]+:[\w-]+') and not starts_with(o, 'urn:') then o else '<' || o || '>' end else '"' || replace(replace(replace(o, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"' end as l from q)"""
+
+
+@query("q18_turtle", f"with {_TRIPLES} select s, '<' || s || '> ' || string_agg(l, ' ;' || chr(10) || '  ' order by l) || ' .' as text from (select distinct s, l from l) group by s")
 def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = stats.quads(Catalog.load(spark, sf_dir)).where("p in ('rdf:type', 'nie:mimeType') and s like 'urn:%'")
-    return pipeline.as_turtle(q)
+    """Every resource with all its properties."""
+    return pipeline.as_turtle(stats.quads(Catalog.load(spark, sf_dir)))
+
+
+@query("q18_trig", f"with {_TRIPLES} select graph, s, 'GRAPH ' || graph || ' {{ <' || s || '> ' || string_agg(l, ' ;' || chr(10) || '  ' order by l) || ' . }}' as text from (select distinct graph, s, l from l) group by graph, s")
+def q18b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.as_turtle(stats.quads(Catalog.load(spark, sf_dir)), named_graphs=True)
+
+
+@query("q18_jsonld", """
+select distinct urn, '{"@id":"' || urn || '","@type":["' || array_to_string(rdf_types, '","') || '"],"properties":{' ||
+concat_ws(',', case when mime_type is not null then '"nie:mimeType":[' || to_json(mime_type)::varchar || ']' end, case when title is not null then '"nie:title":[' || to_json(title)::varchar || ']' end) || '}}' as json from ies""")
+def q18c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.as_jsonld(_read(spark, sf_dir, "ies").select("urn", "rdf_types", "mime_type", "title")).distinct()
 
 
 @query("q21_playlist_text", """
@@ -165,21 +185,6 @@ def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.windows(_read(spark, sf_dir, "change_events"))
 
 
-@query("q18_trig", """
-with p as (select graph, urn, 'a ' || unnest(rdf_types) as l from ies union select graph, urn, 'nie:mimeType "' || mime_type || '"' from ies where mime_type is not null)
-select graph, urn as s, 'GRAPH ' || graph || ' { <' || urn || '> ' || string_agg(l, ' ;' || chr(10) || '  ' order by l) || ' . }' as text from p group by graph, urn""")
-def q18b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = stats.quads(Catalog.load(spark, sf_dir)).where("p in ('rdf:type', 'nie:mimeType') and s like 'urn:%'")
-    return pipeline.as_turtle(q, named_graphs=True)
-
-
-@query("q18_jsonld", """
-select distinct urn, '{"@id":"' || urn || '","@type":["' || array_to_string(rdf_types, '","') || '"],"properties":{"nie:mimeType":["' || mime_type || '"]}}' as json from ies where mime_type is not null and (title is null or regexp_matches(title, '[^ -~]|["/\\\\]'))""")
-def q18c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = _read(spark, sf_dir, "ies").where(F.col("mime_type").isNotNull() & (F.col("title").isNull() | F.col("title").rlike(r'[^ -~]|["/\\]')))
-    return pipeline.as_jsonld(i.select("urn", "rdf_types", "mime_type", F.lit(None).cast("string").alias("title"))).distinct()
-
-
 def _be(x, digits: int):
     """A number as big-endian bytes."""
     return F.unhex(F.lpad(F.hex(x.cast("long")), digits, "0"))
