@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from kartei.extract.base import MAX_TEXT, extract
 from kartei.extract.playlists import cue_tracks
-from kartei.functions.text import same_name_without_extension
 from kartei.operators.rules import match_rules
 
 
@@ -32,14 +31,17 @@ def complete(extracted: DataFrame) -> DataFrame:
 
 
 def sheets_of(audio: DataFrame, sheets: DataFrame) -> DataFrame:
-    """(url, cue_url): the sheet of the same name in the folder, else every sheet of the folder.
+    """(url, cue_url): the sheet of the same name in the folder, else the sheets of the folder that name the file.
 
-    audio(url, folder, file_name), sheets(cue_url, folder, cue_name).
+    audio(url, folder, file_name), sheets(cue_url, folder, cue_name, entries): names are compared without endings and in
+    any letter case. Both ways are equi joins on folder and bare name, so a full folder gives no pairs but these.
     """
-    near = audio.join(sheets, "folder").withColumn("same", same_name_without_extension(F.col("file_name"), F.col("cue_name")))
-    named = near.where("same").select("url", "cue_url")
-    others = near.where("not same").join(named.select("url").distinct(), "url", "left_anti").select("url", "cue_url")
-    return named.unionByName(others)
+    bare = lambda x: F.lower(F.regexp_replace(x, r"\.[^.]*$", ""))
+    a = audio.select("url", "folder", bare(F.col("file_name")).alias("bare")).distinct()
+    named = a.join(sheets.select("cue_url", "folder", bare(F.col("cue_name")).alias("bare")).distinct(), ["folder", "bare"]).select("url", "cue_url")
+    told = sheets.select("cue_url", "folder", F.explode("entries").alias("e")).select("cue_url", "folder", bare(F.regexp_extract("e", r"[^/\\\\]*$", 0)).alias("bare")).distinct()
+    rest = a.join(named.select("url").distinct(), "url", "left_anti").join(told, ["folder", "bare"]).select("url", "cue_url")
+    return named.unionByName(rest)
 
 
 def tracks(audio: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartei.operators.prefix import ancestors
+from kartei.operators.prefix import climb
 
 # kinds of events, and of the last queued event (0: none)
 CREATED, UPDATED, ATTRIBUTES, DELETED, MOVED, BARRIER = 1, 2, 3, 4, 5, 6
@@ -63,7 +63,7 @@ def kind_of(op: Column, attributes_only: Column) -> Column:
 def purge_below_deleted(events: DataFrame) -> DataFrame:
     """Events without those queued before the deletion of a directory above them."""
     gone = events.where((F.col("op") == "DELETED") & F.col("is_dir")).groupBy(F.col("file_url").alias("_a")).agg(F.max("seq").alias("_last"))
-    last = events.select("seq", F.explode(ancestors(F.col("file_url"), False)).alias("_a")).join(gone, "_a").where("_last > seq").select("seq").distinct()
+    last = climb(events.select("seq", "file_url"), "file_url", gone, "_a", False).join(gone, "_a").where("_last > seq").select("seq").distinct()
     return events.join(last, "seq", "left_anti")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartei.operators.prefix import ancestors
+from kartei.operators.prefix import climb
 
 
 def classify(disk: DataFrame, store: DataFrame, rules: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def suppress_below_deleted(states: DataFrame, directories: DataFrame) -> DataFra
     """
     gone = states.where("state = 'DELETE'").select("url")
     tops = gone.join(directories.select("url").distinct(), "url", "left_semi").select(F.col("url").alias("_a"))
-    below = gone.select("url", F.explode(ancestors(F.col("url"), False)).alias("_a")).join(tops, "_a", "left_semi").select("url").distinct()
+    below = climb(gone, "url", tops, "_a", False).join(tops, "_a", "left_semi").select("url").distinct()
     return states.join(below, "url", "left_anti")
 
 

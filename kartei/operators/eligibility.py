@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartei.operators.prefix import ancestors, deepest_prefix
+from kartei.operators.prefix import climb, deepest_prefix
 
 # Locations that are never roots.
 NEVER_ROOTS = ("/dev", "/lib", "/proc", "/sys", "/tmp")
@@ -79,7 +79,7 @@ def eligible_paths(objects: DataFrame, roots: DataFrame, filters: Filters = Filt
     """Eligibility of the whole path: the first reason from the root down wins."""
     own = eligible(objects, roots, filters).select("url", "root", "reason")
     bad = own.where("reason is not null and reason <> 'no root'").select(F.col("url").alias("_a"), F.col("reason").alias("_r"))
-    up = own.select("url", F.posexplode(ancestors(F.col("url"))).alias("_d", "_a"))
+    up = climb(own.select("url"), "url", bad, "_a")
     worst = up.join(bad, "_a").groupBy("url").agg(F.min_by("_r", "_d").alias("first_reason"))
     out = own.join(worst, "url", "left").select("url", "root", F.coalesce("first_reason", "reason").alias("reason"))
     return out.withColumn("indexable", F.col("reason").isNull())
@@ -93,6 +93,6 @@ def shallow_text(name: Column, mime: Column, filters: Filters = Filters()) -> Co
 def without_nested(paths: DataFrame, column: str = "path") -> DataFrame:
     """Paths that lie below no other path of the table; ends without a slash."""
     p = paths.select(F.regexp_replace(column, r"(?<=.)/+$", "").alias("path")).distinct()
-    up = p.select("path", F.explode(ancestors(F.col("path"), False)).alias("_a"))
+    up = climb(p, "path", p, "path", False)
     nested = up.join(p.select(F.col("path").alias("_a")), "_a", "left_semi").select("path").distinct()
     return p.join(nested, "path", "left_anti")

@@ -21,6 +21,20 @@ def ancestors(url: Column, itself: bool = True) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), path)).otherwise(F.array().cast("array<string>"))
 
 
+def climb(df: DataFrame, url: str, bases: DataFrame, base_url: str, itself: bool = True) -> DataFrame:
+    """df with a row for each ancestor of a url (_a, at depth _d) that is as deep as some base.
+
+    The depths of the bases are found by one small aggregation. Steps above and below them are never made, so the top
+    directories that all urls share don't become hot keys of the join that follows.
+    """
+    depth = F.size(ancestors(F.col(base_url)))
+    range_ = bases.where(F.col(base_url).isNotNull()).agg(F.struct(F.min(depth).alias("lo"), F.max(depth).alias("hi")))
+    d = df.withColumn("_r", range_.scalar())
+    lo = F.greatest(F.col("_r.lo"), F.lit(1))
+    some = F.when(F.col("_r.lo").isNotNull(), F.slice(ancestors(F.col(url), itself), lo, F.greatest(F.col("_r.hi") - lo + 1, F.lit(0))))
+    return d.select(*df.columns, lo.alias("_lo"), F.posexplode(some).alias("_d", "_a")).select(*df.columns, (F.col("_d") + F.col("_lo")).alias("_d"), "_a")
+
+
 def deepest_prefix(df: DataFrame, url: str, bases: DataFrame, base_url: str, carry: list[str], itself: bool = True) -> DataFrame:
     """df with the columns ``carry`` of the longest base that is the url or an ancestor of it; NULL where there is none.
 
@@ -28,7 +42,7 @@ def deepest_prefix(df: DataFrame, url: str, bases: DataFrame, base_url: str, car
     the result is joined back by url.
     """
     urls = df.select(F.col(url).alias("_u")).where("_u is not null").distinct()
-    steps = urls.select("_u", F.explode(ancestors(F.col("_u"), itself)).alias("_a"))
+    steps = climb(urls, "_u", bases, base_url, itself).select("_u", "_a")
     hit = steps.join(bases.select(F.col(base_url).alias("_a"), *[F.col(c).alias(f"_c_{c}") for c in carry]).distinct(), "_a")
     best = hit.groupBy("_u").agg(F.max_by(F.struct(*[f"_c_{c}" for c in carry]), F.length("_a")).alias("_b"))
     names = [c for c in df.columns if c not in carry]
@@ -38,5 +52,5 @@ def deepest_prefix(df: DataFrame, url: str, bases: DataFrame, base_url: str, car
 def without_descendants(df: DataFrame, url: str, bases: DataFrame, base_url: str) -> DataFrame:
     """Rows that lie below none of the bases."""
     b = bases.select(F.col(base_url).alias("_a")).where("_a is not null").distinct()
-    bad = df.select(F.col(url).alias("_u")).distinct().select("_u", F.explode(ancestors(F.col("_u"), False)).alias("_a")).join(b, "_a", "left_semi").select("_u").distinct()
+    bad = climb(df.select(F.col(url).alias("_u")).distinct(), "_u", b, "_a", False).join(b, "_a", "left_semi").select("_u").distinct()
     return df.join(bad, F.col(url) == F.col("_u"), "left_anti")

@@ -73,14 +73,18 @@ def x16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j11_sheets", f"""
-with f as (select distinct url, container_urn as folder, file_name from files where graph = '{FILE_SYSTEM}'), a as (select * from f where ends_with(file_name, '.mp3')), s as (select url as cue_url, folder, file_name as cue_name from f where ends_with(file_name, '.pdf')),
-n as (select a.url, s.cue_url, lower(regexp_replace(a.file_name, '\\.[^.]*$', '')) = lower(regexp_replace(s.cue_name, '\\.[^.]*$', '')) as same from a join s using (folder))
-select url, cue_url from n where same union all select url, cue_url from n where not same and url not in (select url from n where same)""".replace("\\\\", "\\"))
+with f as (select distinct url, container_urn as folder, file_name, regexp_extract(file_name, '-(\\d+)\\.', 1)::bigint as n from files where graph = '{FILE_SYSTEM}' and regexp_matches(file_name, '-\\d+\\.')),
+a as (select url, folder, 'track ' || n % 5 as bare from f where ends_with(file_name, '.mp3')), s as (select url as cue_url, folder, 'track ' || n % 9 as bare, 'track ' || n % 4 as entry from f where ends_with(file_name, '.pdf')),
+n as (select a.url, s.cue_url from a join s using (folder, bare))
+select url, cue_url from n union all select distinct a.url, s.cue_url from a join s on s.folder = a.folder and s.entry = a.bare where a.url not in (select url from n)""".replace("\\\\", "\\"))
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of the same name, else all of the folder (with .mp3 and .pdf in place of audio and sheets)."""
-    f = Catalog.load(spark, sf_dir).data_objects("url", "container_urn", "file_name").withColumnRenamed("container_urn", "folder")
-    audio, sheets = f.where(F.endswith("file_name", F.lit(".mp3"))), f.where(F.endswith("file_name", F.lit(".pdf")))
-    return pipeline.sheets_of(audio, sheets.select(F.col("url").alias("cue_url"), "folder", F.col("file_name").alias("cue_name")))
+    """Sheets for audio files: .mp3 and .pdf files stand for them, with names made of their numbers."""
+    n = F.nullif(F.regexp_extract("file_name", r"-(\d+)\.", 1), F.lit("")).cast("long")
+    f = Catalog.load(spark, sf_dir).data_objects("url", "container_urn", "file_name").withColumnRenamed("container_urn", "folder").withColumn("n", n).where("n is not null")
+    name = lambda k, end: F.concat(F.lit("Track "), (F.col("n") % k).cast("string"), F.lit(end))
+    audio = f.where(F.endswith("file_name", F.lit(".mp3"))).select("url", "folder", name(5, ".mp3").alias("file_name"))
+    sheets = f.where(F.endswith("file_name", F.lit(".pdf"))).select(F.col("url").alias("cue_url"), "folder", name(9, ".cue").alias("cue_name"), F.array(F.upper(name(4, ".wav"))).alias("entries"))
+    return pipeline.sheets_of(audio, sheets)
 
 
 @query("x31_complete", """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kartei.catalog import FILE_SYSTEM, Catalog
 from kartei.extract.pipeline import run
 from kartei.operators import mutations, snapshot
-from kartei.operators.prefix import ancestors
+from kartei.operators.prefix import climb
 
 
 #: Neighbouring sequence numbers worked on in one task.
@@ -20,7 +20,7 @@ CHUNK = 10_000
 def delete_urls(c: Catalog, gone: DataFrame) -> Catalog:
     """gone(url): these files and folders, all below them, and what is stored there; one anti join a table."""
     roots = gone.select(F.col("url").alias("_a")).distinct()
-    below = lambda df: df.select("url").distinct().select("url", F.explode(ancestors(F.col("url"))).alias("_a")).join(roots, "_a", "left_semi").select("url").distinct()
+    below = lambda df: climb(df.select("url").distinct(), "url", roots, "_a").join(roots, "_a", "left_semi").select("url").distinct()
     urls = below(c.files)
     stored = c.ies.select("graph", "urn", F.explode("stored_as").alias("url"))
     hit = stored.join(below(stored), "url", "left_semi").select("graph", "urn").distinct()
@@ -33,7 +33,7 @@ def move_urls(c: Catalog, moves: DataFrame) -> Catalog:
     m = moves.select(F.col("src").alias("_a"), "dest").groupBy("_a").agg(F.max("dest").alias("dest"))
 
     def renamed(urls: DataFrame) -> DataFrame:
-        up = urls.select("url", F.posexplode(ancestors(F.col("url"))).alias("_d", "_a")).join(m, "_a")
+        up = climb(urls, "url", m, "_a").join(m, "_a")
         best = up.groupBy("url").agg(F.max_by(F.struct("_a", "dest"), "_d").alias("b"))
         return best.select("url", F.concat(F.col("b.dest"), F.substring("url", F.length("b._a") + 1, F.length("url"))).alias("new"))
 
