@@ -25,6 +25,7 @@ from kartei.session import materialize
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+MOST_BROADCAST_SOURCES = 100_000
 
 
 @functools.cache
@@ -63,15 +64,19 @@ def rates(sizes: DataFrame, targets: DataFrame, source: str, share: str, repeats
 def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame, share: str = "target_share", repeats: str = "max_repeats", total_tokens: int | None = None, seed: int = 17, folder: str = TOKENIZERS, name: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The used records (doc, source, n_tokens, uses) and the shares per source.
 
-    targets has one row a source, so rates are a small table; its size is left to the planner, which broadcasts below
-    its threshold only. Records carry their id, source and size, never their text, through the join.
+    Rates have one row a source; up to MOST_BROADCAST_SOURCES of them are broadcast, so a source with a third of all
+    records is not shuffled; more are joined by shuffle, where adaptive execution splits what is skewed. Records carry
+    their id, source and size, never their text.
     """
     sized = count_tokens(docs.select(doc_id, source, text).where(F.col(text).isNotNull()), text, "n_tokens", folder, name).select(doc_id, source, "n_tokens")
     sized = materialize(sized.where("n_tokens > 0"))
     sizes = sized.groupBy(source).agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("records"))
     rate = materialize(rates(sizes, targets, source, share, repeats, total_tokens))
     draw = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    used = sized.join(rate.select(source, "rate").where("rate > 0"), source).withColumn("uses", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+    wanted = rate.select(source, "rate").where("rate > 0")
+    if wanted.count() <= MOST_BROADCAST_SOURCES:  # one row a source; counted, so the hint has a bound
+        wanted = F.broadcast(wanted)
+    used = sized.join(wanted, source).withColumn("uses", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
     used = used.where("uses > 0").select(doc_id, source, "n_tokens", "uses")
     actual = used.groupBy(source).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     whole = actual.agg(F.sum("used_tokens").alias("all_tokens"))
