@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartei.catalog import CONTENT_GRAPHS, FILE_SYSTEM, Catalog, class_closure, explode_links, super_classes, with_availability
+from kartei.catalog import CONTENT_GRAPHS, FILE_SYSTEM, SUB_CLASS, Catalog, explode_links, super_classes, with_availability
 from kartei.plans.listing import folders_with_source
 from kartei.plans.registry import query
 
@@ -23,11 +23,14 @@ def count_folders(c: Catalog) -> DataFrame:
 
 
 def class_stats(c: Catalog) -> DataFrame:
-    """(graph, class, n) with super-classes, of interpretations and data objects, by graph."""
-    closure = class_closure(c.ies.sparkSession)
-    each = c.ies.select("graph", "urn", F.explode("rdf_types").alias("sub")).distinct()
-    ies = each.join(F.broadcast(closure), "sub").select("graph", "urn", F.col("super").alias("class")).distinct()  # the closure is a fixed small table
-    objects = c.files.select("graph", F.col("url").alias("urn")).distinct().withColumn("class", F.explode(F.array(*[F.lit(x) for x in super_classes("nfo:FileDataObject")])))
+    """(graph, class, n) with super-classes, of interpretations and data objects, by graph.
+
+    Super-classes are looked up in a literal map, so the only shuffle of rows is the one that drops duplicates.
+    """
+    known = F.create_map(*[x for k in sorted({*SUB_CLASS, *SUB_CLASS.values()}) for x in (F.lit(k), F.array(*[F.lit(s) for s in super_classes(k)]))])
+    rows = c.ies.select("graph", "urn", F.array_sort("rdf_types").alias("t")).distinct()
+    ies = rows.select("graph", F.explode(F.array_distinct(F.flatten(F.transform("t", lambda t: F.coalesce(F.try_element_at(known, t), F.array(t)))))).alias("class"))
+    objects = c.files.select("graph", "url").distinct().select("graph", F.explode(F.array(*[F.lit(x) for x in super_classes("nfo:FileDataObject")])).alias("class"))
     return ies.unionByName(objects).groupBy("graph", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -126,7 +129,7 @@ def _closure_values() -> str:
 @query("r18_class_stats", f"""
 with k(sub, super) as (values {_closure_values()}),
 e as (select distinct graph, urn, unnest(rdf_types) as sub from ies),
-x as (select distinct graph, urn, super as class from e join k using (sub)
+x as (select distinct graph, urn, coalesce(super, sub) as class from e left join k using (sub)
 union all select distinct graph, url, unnest(['nfo:FileDataObject', 'nie:DataObject', 'rdfs:Resource']) from files)
 select graph, class, count(*) as n from x group by 1, 2""")
 def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
