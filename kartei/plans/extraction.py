@@ -47,7 +47,7 @@ def x09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", "title", F.col("props")["nfo:pageCount"][0].cast("int").alias("pages"), F.col("props")["nie:contentCreated"][0].alias("created"))
 
 
-@query("x12_playlist", "select l_orderkey::varchar as url, (row_number() over (partition by l_orderkey order by l_linenumber, '#EXTINF:' || l_suppkey || ',Part' || chr(10) || 'song-' || l_partkey))::int as position, 'song-' || l_partkey || '.mp3' as entry, nullif(sum(l_suppkey) over (partition by l_orderkey), 0) as seconds from lineitem")
+@query("x12_playlist", "select l_orderkey::varchar as url, (row_number() over (partition by l_orderkey order by l_linenumber, '#EXTINF:' || l_suppkey || ',Part' || chr(10) || 'song-' || l_partkey))::int as position, 'song-' || l_partkey || '.mp3' as entry, nullif(sum(l_suppkey) over (partition by l_orderkey), 0)::bigint as seconds from lineitem")
 def x12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as playlists of their lines."""
     line = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -88,7 +88,7 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("x31_complete", """
-select doc_id::varchar as url, 'tracker:Documents' as graph, 'nie:InformationElement,nfo:Document,nfo:PlainTextDocument' as types, length(trim(text, ' ' || chr(10) || chr(13) || chr(9))) as n from documents""")
+select doc_id::varchar as url, 'tracker:Documents' as graph, 'nie:InformationElement,nfo:Document,nfo:PlainTextDocument' as types, length(trim(text, ' ' || chr(10) || chr(13) || chr(9)))::int as n from documents""")
 def x31(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, extraction and completion in one pass."""
     from kartei.operators.rules import shipped_rules
@@ -183,10 +183,10 @@ def str15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w01_windows", """
-select time_bucket(interval 1 hour, ts, timestamp '2000-01-01 00:00:00'::timestamptz) as start, time_bucket(interval 1 hour, ts, timestamp '2000-01-01 00:00:00'::timestamptz) + interval 1 hour as "end", op, count(*) as n from change_events where ts is not null and op is not null group by 1, 2, 3""")
+select epoch_us(ts) // 3600000000 * 3600 as start, (epoch_us(ts) // 3600000000 + 1) * 3600 as "end", op, count(*) as n from change_events where ts is not null and op is not null group by 1, 2, 3""")
 def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and kind."""
-    return queue.windows(_read(spark, sf_dir, "change_events"))
+    return queue.windows(_read(spark, sf_dir, "change_events")).withColumns({c: F.unix_seconds(c) for c in ("start", "end")})
 
 
 def _be(x, digits: int):

@@ -174,7 +174,7 @@ def sc33(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sc01_builtins", f"""
-select distinct url, contains(url, '/vault/') as has, upper(file_name) as up, split_part(file_name, '.', 1) as before, year(mtime) as y, month(mtime) as m, md5(url) as md5, sha256(url) as sha, round(file_size / 1024.0, 3) as kib, ceil(file_size / 1000.0)::bigint as c
+select distinct url, contains(url, '/vault/') as has, upper(file_name) as up, split_part(file_name, '.', 1) as before, year(mtime)::int as y, month(mtime)::int as m, md5(url) as md5, sha256(url) as sha, round(file_size / 1024.0, 3) as kib, ceil(file_size / 1000.0)::bigint as c
 from files where graph = '{FILE_SYSTEM}' and mtime is not null and file_size is not null""")
 def sc01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoint built-ins."""

@@ -215,7 +215,7 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t01_postings", f"""
 with t as (select distinct graph, urn, {sql_tokens(_TEXT)} as w from ies), p as (select graph, urn, unnest(w) as token, unnest(range(len(w))) as pos from t)
-select token, graph, urn, count(*) as tf, min(pos) as first_pos from p group by 1, 2, 3""")
+select token, graph, urn, count(*) as tf, min(pos)::int as first_pos from p group by 1, 2, 3""")
 def t01b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(Catalog.load(spark, sf_dir))
 

@@ -190,10 +190,10 @@ def r22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r23_root_content", f"""
 with f as (select distinct data_source, url, mtime, extractor_hash, unnest(case when len(interpreted_as) > 0 then interpreted_as else [null] end) as ie from files where graph = '{FILE_SYSTEM}')
-select distinct f.data_source as root, f.url, d.urn as folder_urn, f.mtime, f.extractor_hash as hash, i.mime_type from f
+select distinct f.data_source as root, f.url, d.urn as folder_urn, epoch_us(f.mtime) as mtime, f.extractor_hash as hash, i.mime_type from f
 join roots r on r.urn = f.data_source left join folders d on d.urn = f.ie left join (select distinct urn, mime_type from ies) i on i.urn = f.ie""")
 def r23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return root_content(Catalog.load(spark, sf_dir))
+    return root_content(Catalog.load(spark, sf_dir)).withColumn("mtime", F.unix_micros("mtime"))
 
 
 @query("r24_mime_types", "select distinct url, mime_type from (select unnest(stored_as) as url, mime_type from ies where mime_type is not null)")
@@ -222,7 +222,7 @@ def r26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_sheets(Catalog.load(spark, sf_dir), ".mp3")
 
 
-@query("r27_sql_endpoint", f"select data_source, count(distinct url) as files, sum(file_size) as bytes from (select distinct url, data_source, file_size from files where graph = '{FILE_SYSTEM}') group by 1")
+@query("r27_sql_endpoint", f"select data_source, count(distinct url) as files, sum(file_size)::bigint as bytes from (select distinct url, data_source, file_size from files where graph = '{FILE_SYSTEM}') group by 1")
 def r27(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ad-hoc SQL over the registered views."""
     Catalog.load(spark, sf_dir).register("kartei_")

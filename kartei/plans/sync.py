@@ -70,10 +70,10 @@ def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q05_move_file", f"""
 with p as (select {_FILE_SQL} as src, {_FOLDER_SQL} as dir)
 select distinct graph, case when url = src then dir || '/moved.bin' else url end as url, case when url = src then 'moved.bin' else file_name end as file_name,
-case when url = src then case when graph = '{FILE_SYSTEM}' then (select max(urn) from folders where url = dir) end else container_urn end as container_urn, mtime from files, p""")
+case when url = src then case when graph = '{FILE_SYSTEM}' then (select max(urn) from folders where url = dir) end else container_urn end as container_urn, epoch_us(mtime) as mtime from files, p""")
 def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog.load(spark, sf_dir)
-    return mutations.move_file(c, _file(c), f"{_folder(c)}/moved.bin").files.select("graph", "url", "file_name", "container_urn", "mtime").distinct()
+    return mutations.move_file(c, _file(c), f"{_folder(c)}/moved.bin").files.select("graph", "url", "file_name", "container_urn", F.unix_micros("mtime").alias("mtime")).distinct()
 
 
 @query("q06_move_subtree", f"""
@@ -182,14 +182,14 @@ def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q16_upsert", f"""
 with e as (select file_url as url, max(seq) as seq from change_events where op in ('CREATED', 'UPDATED') and not is_dir group by 1),
 x as (select e.url, arg_max(v.ts, v.seq) as ts from e join change_events v on v.file_url = e.url and v.op in ('CREATED', 'UPDATED') and not v.is_dir group by 1)
-select f.url, coalesce(x.ts, f.mtime) as mtime from (select distinct url, mtime from files where graph = '{FILE_SYSTEM}') f left join x using (url)""")
+select f.url, epoch_us(coalesce(x.ts, f.mtime)) as mtime from (select distinct url, mtime from files where graph = '{FILE_SYSTEM}') f left join x using (url)""")
 def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute updates: the time of the last event of every file."""
     c = Catalog.load(spark, sf_dir)
     e = _events(spark, sf_dir).where("op in ('CREATED', 'UPDATED') and not is_dir").select("seq", "ts", "file_url").distinct()
     known = {"graph": F.lit(FILE_SYSTEM), "url": F.col("file_url"), "mtime": F.col("ts")}
     rows = e.select("seq", *[known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in c.files.schema.fields])
-    return mutations.upsert_files(c, rows, attributes_only=True).in_graph("files", FILE_SYSTEM).select("url", "mtime").distinct()
+    return mutations.upsert_files(c, rows, attributes_only=True).in_graph("files", FILE_SYSTEM).select("url", F.unix_micros("mtime").alias("mtime")).distinct()
 
 
 @query("r29_init_roots", """
@@ -246,7 +246,7 @@ def str07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.suppress_below_deleted(_states(spark, sf_dir).unionByName(gone), gone)
 
 
-@query("str08_finish", f"with {_DISK} select regexp_replace(url, '/[^/]*$', '') as folder, count(*) as changes, len(string_split(regexp_replace(url, '/[^/]*$', ''), '/')) - 3 as depth from x where state <> 'NONE' group by 1, 3")
+@query("str08_finish", f"with {_DISK} select regexp_replace(url, '/[^/]*$', '') as folder, count(*) as changes, len(string_split(regexp_replace(url, '/[^/]*$', ''), '/'))::int - 3 as depth from x where state <> 'NONE' group by 1, 3")
 def str08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.finish_directories(_states(spark, sf_dir))
 
