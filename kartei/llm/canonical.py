@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kartei.llm.skew import spread_join
+
 #: Words that may stand beside an entry without meaning anything.
 FILLERS = frozenset("a and diverse etc genre genres live misc miscellaneous music musik musique música old other some style stuff the various general mixed my mix new type".split())
 SPLIT = re.compile(r"[;,/&|+\n]")
@@ -237,4 +239,4 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, entry_id: s
 def map_rows(df: DataFrame, key: str, column: str, reference: DataFrame, entry_id: str, label: str, alternatives: str) -> DataFrame:
     """(key, entry) of every row whose value is not blank and not exactly a label; repeated rows count once."""
     mapped = map_values(df, column, reference, entry_id, label, alternatives)
-    return df.select(F.col(key), F.col(column).alias("value")).join(mapped, "value").select(key, "entry").distinct()
+    return spread_join(df.select(F.col(key), F.col(column).alias("value")), mapped, ["value"], key).select(key, "entry").distinct()

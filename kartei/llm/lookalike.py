@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kartei.llm.arrowtext import as_string, code_points, from_code_points
+from kartei.llm.skew import spread_join
 from kartei.session import materialize
 
 # Letters that have the shape of a Latin letter (Cyrillic, Greek, Roman numerals, Latin script g, Armenian).
@@ -199,7 +200,7 @@ def lookalike_pairs(df: DataFrame, key: str, column: str, rows_a_salt: int = 50_
     many = held.groupBy("form").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("form")
     held = held.join(many, "form", "left_semi").withColumn("salts", F.ceil(F.col("n") / rows_a_salt).cast("int"))
     held = materialize(held)
-    rows = rows.join(many, "form", "left_semi").join(held.select("form", "v", "salts"), ["form", "v"]).distinct()
+    rows = spread_join(rows, held.select("form", "v", "salts"), ["form", "v"], "k").distinct()
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int")).select("form", "v", "salt", "k")
     a, b = held.select("form", F.col("v").alias("va"), F.col("salts").alias("sa")), held.select("form", F.col("v").alias("vb"), F.col("salts").alias("sb"))
     kinds = a.join(b, "form").where("va < vb")

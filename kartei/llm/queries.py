@@ -34,7 +34,8 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values that name no entry, with the rows that hold them."""
     ies = _read(spark, sf_dir, "ies").select("urn", "genre").distinct()
     mapped = canonical.map_values(ies, "genre", _read(spark, sf_dir, "genres"), "genre_id", "pref_label", "alt_labels").where("entry = -1")
-    return ies.join(mapped, ies["genre"] == mapped["value"]).groupBy("genre").agg(F.count(F.lit(1)).alias("rows"))
+    held = ies.where("genre is not null").groupBy("genre").agg(F.count(F.lit(1)).alias("rows"))
+    return held.join(mapped.select(F.col("value").alias("genre")), "genre")
 
 
 FIELDS = {"title": "title", "ie_comment": "comment", "plain_text": "plain_text"}
