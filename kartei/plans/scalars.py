@@ -190,3 +190,26 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "ies").select("urn", "rdf_types").distinct().select(F.explode("rdf_types").alias("class"))
     words = F.split(F.lower("class"), "[^a-z]+")
     return e.where(F.arrays_overlap(words, F.array(F.lit("photo"), F.lit("audio")))).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sc07_parse", "select distinct url, strftime(mtime, '%Y-%m-%dT%H:%M:%S+00:00') as shown, cast(null as varchar) as none from files where mtime is not null")
+def sc07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in one given pattern; text in another one is NULL."""
+    f = _read(spark, sf_dir, "files").where("mtime is not null")
+    return f.select("url", dates.parse_with(F.date_format("mtime", "dd/MM/yyyy HH.mm.ss"), "dd/MM/yyyy HH.mm.ss").alias("shown"), dates.parse_with(F.date_format("mtime", "yyyy"), "dd/MM/yyyy HH.mm.ss").alias("none")).distinct()
+
+
+@query("sc23_sc24_regions", """
+select c_custkey, case c_nationkey % 6 when 0 then 'nfo:region-content-face' when 1 then 'nfo:region-content-pet' when 2 then 'nfo:region-content-focus' when 3 then 'nfo:region-content-barcode' when 4 then 'nfo:roi-content-undefined' end as region,
+case when c_nationkey % 2 = 0 then 'nfo:orientation-left' else 'nfo:orientation-top' end as iptc from customer""")
+def sc24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("Face", "PETS", "focus point", "BarCode", "other", None)])
+    k = F.col("c_nationkey")
+    return _read(spark, sf_dir, "customer").select("c_custkey", media.region_type(F.element_at(names, (k % 6 + 1).cast("int"))).alias("region"), media.iptc_orientation(F.when(k % 2 == 0, "P").otherwise("L")).alias("iptc"))
+
+
+@query("sc28_content_ids", "select distinct url, url || case when length(url) % 2 = 0 then '/' || length(url) else '' end as part, 'urn:child:' || sha256(url || chr(10) || '3') as child from files")
+def sc28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _read(spark, sf_dir, "files").select("url").distinct()
+    suffix = F.when(F.length("url") % 2 == 0, F.length("url").cast("string"))
+    return f.select("url", urns.content_id(F.col("url"), suffix).alias("part"), urns.child_id(F.col("url"), F.lit(3)).alias("child"))
