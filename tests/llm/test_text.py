@@ -468,3 +468,14 @@ def test_samples_are_told_apart(tiny):
 def test_sentences():
     assert sentences("One two. Three? “Four.” Five\nSix 3.5 x") == ["One two.", "Three?", "“Four.”", "Five", "Six 3.5 x"]
     assert sentences("") == []
+
+
+def test_spread_join_is_the_join(spark):
+    from kartei.llm.skew import spread_join
+
+    big = spark.createDataFrame([(k, "hot" if k % 3 else f"v{k}") for k in range(300)] + [(None, "hot"), (7, None)], "k int, v string")
+    small = spark.createDataFrame([("hot", 1), ("v0", 2), ("v9", 3), (None, 4)], "v string, w int")
+    plain = sorted(map(str, big.join(small, "v").select("k", "v", "w").collect()))
+    for ways in (1, 16):
+        assert sorted(map(str, spread_join(big, small, ["v"], "k", ways).select("k", "v", "w").collect())) == plain
+    assert spread_join(big.limit(0), small, ["v"], "k").count() == 0
