@@ -454,6 +454,34 @@ def test_scores(spark, tiny):
     assert toxicity.score_documents(docs, "doc_id", "text", "source", samples.limit(0), "text", "is_abusive")[0].count() == docs.count()
 
 
+def test_neither_share_nor_length_raises_the_bar(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").where("text is not null").select("doc_id", "text", "source")
+    samples = spark.read.parquet(f"{tiny}/moderation_samples.parquet")
+    bad = "You are a worthless bastard and everybody laughs behind your back."
+    plain = "The list of old recordings lay on the table. "
+    n = docs.count()
+    found = []
+    for extra in ([], [(10**6 + k, bad, "bad") for k in range(n)]):
+        more = [(1, bad, "x"), (2, plain * 20_000 + bad, "x"), (3, plain, "x"), *extra]
+        df = docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"))
+        scored = toxicity.score_documents(df, "doc_id", "text", "source", samples, "text", "is_abusive")[0].where("flagged")
+        found.append({r.doc_id for r in scored.collect()})
+    assert {1, 2} <= found[0] and 3 not in found[0]
+    assert found[1] == found[0] | {10**6 + k for k in range(n)}
+
+
+def test_truncated_extreme_values():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.gumbel(3, 1.2, 20000), np.full(20000, 12.0)]).round(1)  # half of them far above the law
+    b, w = np.unique(x, return_counts=True)
+    lam, k = toxicity.fit_extreme(b, np.ones(len(b)), w, 6.0)
+    assert abs(lam - 1 / 1.2) < 0.1
+    assert abs(toxicity.p_value(6, 1, lam, k) - 0.079) < 0.03
+    assert toxicity.fit_extreme(np.array([9.0]), np.ones(1), np.ones(1), 6.0) == (1.0, 1.0)
+    words = "a b . c ! d".split()
+    assert toxicity.highest(words, [2.0, 3.0, -4.0, -1.0, -4.0, 1.0]) == {5.0: 1, 0.0: 1, 1.0: 1}
+
+
 def test_samples_are_told_apart(tiny):
     import duckdb
 
