@@ -470,6 +470,14 @@ def test_neither_share_nor_length_raises_the_bar(spark, tiny):
     assert found[1] == found[0] | {10**6 + k for k in range(n)}
 
 
+def test_the_list_alone_finds_nothing_in_ordinary_phrases():
+    m = toxicity.Model([])
+    m.weigh(np.concatenate([np.zeros(len(m.number), np.int64), [10**6, 10**6]]))
+    for t in ("we miss you", "clean the toilet", "this book of yours belongs here", "run and jump", "sat down on it", "begging for time", "she swallowed the pill", "a parasites and throat clinic", "du bist da", "eres un amigo", "nackt auf", "toute nue", "partir la semaine"):
+        assert not m.segments(m.reader.words(toxicity.unify([t])[0]), 0.1), t
+    assert m.segments(["you", "bastard"], 1.0)
+
+
 def test_truncated_extreme_values():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.gumbel(3, 1.2, 20000), np.full(20000, 12.0)]).round(1)  # half of them far above the law
