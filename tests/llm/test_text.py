@@ -478,6 +478,18 @@ def test_the_list_alone_finds_nothing_in_ordinary_phrases():
     assert m.segments(["you", "bastard"], 1.0)
 
 
+def test_one_unambiguous_word_is_enough(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "source")
+    samples = spark.read.parquet(f"{tiny}/moderation_samples.parquet")
+    frame = "Honestly, yonder gatekeeper seems quite the {} whenever strangers knock."
+    more = [(90001, frame.format("dickhead"), "x"), (90002, frame.format("d1ckhead") + " Rain fell.", "x"), (90003, frame.format("gentleman"), "x"), (90004, "The bastard title, page 7, stands before the full title.", "x")]
+    more += [(90005, frame.format("hoer"), "x"), *((91000 + k, "Zij hoer de klok.", "x") for k in range(50))]  # frequent in ordinary text here
+    df = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    scored = toxicity.score_documents(df, "doc_id", "text", "source", samples, "text", "is_abusive")[0].where("flagged and source = 'x'")
+    assert {r.doc_id for r in scored.collect()} == {90001, 90002}
+    assert toxicity.slots(["a", "7", "b"]) == [(".", "0"), ("a", "b"), ("0", ".")]
+
+
 def test_truncated_extreme_values():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.gumbel(3, 1.2, 20000), np.full(20000, 12.0)]).round(1)  # half of them far above the law
