@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -238,10 +239,39 @@ def training_texts(df: DataFrame, columns: list[str], key: str, rows: int) -> li
     return list(dict.fromkeys(v for r in got for v in r[1:] if v))
 
 
+def known_words(df: DataFrame, columns: list[str], model: Garbling) -> frozenset[str]:
+    """The words in more than one clean segment of all rows, of those that some likely chain restores."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            pool = list(dict.fromkeys(s for c in columns for t in b[c] if t for s in segments_of(t)))
+            seen: dict[str, list] = {}
+            for s, q in zip(pool, shared.value.probabilities(pool) if pool else [], strict=True):
+                if not _surely_garbled(s) and (q[0] > 0.5 or not _confirmed(s, q, None)):
+                    h = zlib.crc32(s.encode("utf-8", "replace"))
+                    for w in {w.lower() for w in WORD.findall(s)}:
+                        x = seen.setdefault(w, [h, h, False])
+                        x[0], x[1] = min(x[0], h), max(x[1], h)
+                for k in np.argsort(-q)[:6] if q[0] < 0.95 else []:
+                    if CHAINS[k] != CLEAN and q[k] >= 0.02:
+                        backs = [invert(s, CHAINS[k]) or "", *(invert(m, CHAINS[k]) or "" for m in PIECE.findall(s))]
+                        for w in {w.lower() for back in backs for w in WORD.findall(back)}:
+                            seen.setdefault(w, [2**32, -1, False])[2] = True
+            yield pd.DataFrame([(w, *x) for w, x in seen.items()], columns=["w", "low", "high", "wanted"])
+
+    some = functools.reduce(lambda a, b: a | b, [F.col(c).rlike(r"[^\x00-\x7f]") for c in columns])
+    words = df.select(*columns).where(some).mapInPandas(run, "w string, low long, high long, wanted boolean").groupBy("w")
+    return frozenset(r.w for r in words.agg(F.min("low").alias("a"), F.max("high").alias("b"), F.bool_or("wanted").alias("c")).where("c and a < b").select("w").collect())
+
+
 def find_garbled(df: DataFrame, key: str, columns: dict[str, str], sample_rows: int = 3000) -> DataFrame:
     """(key, field_name, chain, restored) of every garbled field. columns: column -> name of the field."""
     texts = training_texts(df, list(columns), key, sample_rows)
-    model = df.sparkSession.sparkContext.broadcast(train(texts)) if texts else None
+    trained = train(texts) if texts else None
+    if trained:  # the sample is for the classifier only
+        trained = Garbling(trained.softmax, trained.known | known_words(df, list(columns), trained))
+    model = df.sparkSession.sparkContext.broadcast(trained) if trained else None
 
     def run(batches):
         for b in batches:
