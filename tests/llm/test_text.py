@@ -207,15 +207,6 @@ def test_garbling_corner_cases(garble_model):
     assert encoding.repair_texts([part], garble_model)[0][1] == "All is well here. Die Brücke über den Fluss."
 
 
-def test_known_words_are_counted_over_all_rows(spark, garble_model):
-    rows = [("Das Wörterknäuel liegt im Flur.",), ("Ein Wörterknäuel fehlt über Nacht.",), ("Das Möhrenfuder fehlt.",), ("Das Möhrenfuder fehlt.",)]
-    rows += [(encoding.garble(t, "cp1252 as mac-roman"),) for t in ("Wörterknäuel für Gäste", "Möhrenfuder für Gäste")]
-    df = spark.createDataFrame(rows, "title string").repartition(3)
-    assert "wörterknäuel" not in garble_model.known
-    got = encoding.known_words(df, ["title"], garble_model)
-    assert "wörterknäuel" in got and "möhrenfuder" not in got and "flur" not in got
-
-
 def test_find_garbled_takes_empty_tables(spark):
     df = spark.createDataFrame([], "urn string, title string")
     assert encoding.find_garbled(df, "urn", {"title": "title"}).count() == 0
