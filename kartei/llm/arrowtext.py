@@ -37,10 +37,8 @@ def from_code_points(points: np.ndarray, off: np.ndarray, mask: np.ndarray | Non
     data = points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     width = 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF)
     at = np.concatenate(([0], np.cumsum(width)))[off].astype(np.int32)
-    out = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(data))
-    if mask is None or not mask.any():
-        return out
-    return pa.array(np.where(mask, None, np.array(out.to_pylist(), dtype=object)), pa.string())
+    valid = None if mask is None or not mask.any() else pa.py_buffer(np.packbits(~mask, bitorder="little").tobytes())
+    return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(data), valid)
 
 
 SENTENCE = re.compile(r"[^\n.!?…]*(?:[.!?…](?=[^\s”’»\"')\]])[^\n.!?…]*)*[.!?…]*[”’»\"')\]]*", re.UNICODE)

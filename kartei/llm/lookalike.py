@@ -83,7 +83,12 @@ def tables() -> dict[str, np.ndarray]:
             back[script][ord(latin)] = ord(x)
     joins = np.zeros(SIZE, bool)
     joins[[b for b in second if combining[b] == 0]] = True
-    return {"start": start, "count": count, "pool": np.concatenate(pool), "ccc": combining, "kind": kind, "pair": pair[order], "to": np.array(composed, np.uint32)[order], "cyrillic": back[2], "greek": back[3], "joins": joins}
+    # characters that stand for themselves in any surroundings of their like
+    steady = np.zeros(SIZE, bool)
+    for c in range(0x2800):
+        ch = chr(c)
+        steady[c] = not 0x1100 <= c < 0x1200 and combining[c] == 0 and kind[c] < 2 and not joins[c] and ud.normalize("NFC", _fold(ch)) == ch
+    return {"steady": steady, "start": start, "count": count, "pool": np.concatenate(pool), "ccc": combining, "kind": kind, "pair": pair[order], "to": np.array(composed, np.uint32)[order], "cyrillic": back[2], "greek": back[3], "joins": joins}
 
 
 def _lookup_pair(t: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,6 +151,19 @@ def normalise_array(arr: pa.Array) -> pa.StringArray:
 
 
 def _normalise(arr: pa.StringArray) -> pa.StringArray:
+    """Rows of steady characters only are kept as they are."""
+    points, off = code_points(arr)
+    changing = np.concatenate(([0], np.cumsum(~tables()["steady"][points])))[off]
+    rows = np.flatnonzero(changing[1:] > changing[:-1])
+    if not len(rows):
+        return arr
+    changed = _normalise_rows(arr.take(pa.array(rows)))
+    at = np.arange(len(arr))
+    at[rows] = len(arr) + np.arange(len(rows))
+    return pa.concat_arrays([arr, changed]).take(pa.array(at))
+
+
+def _normalise_rows(arr: pa.StringArray) -> pa.StringArray:
     t = tables()
     n = len(arr)
     points, off = code_points(arr)

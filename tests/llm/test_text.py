@@ -422,32 +422,72 @@ def test_best_segment_is_the_maximum_sum(scores):
     assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def unified(text):
+    return normalise_array(pa.array([text])).to_pylist()[0].casefold()
+
+
 def test_disguises():
     r = toxicity.Reader({"bastard", "vermin", "halfwit", "horny"})
-    for t in ("b45t4rd", "b*****d", "bas​tard", "b.a.s.t.a.r.d", "baaaastard", "b a s t a r d", "bаstаrd", "ＢＡＳＴＡＲＤ"):
-        assert "bastard" in r.words(toxicity.unify([t])[0]), t
+    for t in ("b45t4rd", "b*****d", "bas\u200btard", "b.a.s.t.a.r.d", "baaaastard", "b a s t a r d", "b\u0430st\u0430rd", "ＢＡＳＴＡＲＤ", "bast***"):
+        assert "bastard" in r.words(unified(t)), t
+        assert toxicity.hash_words(["bastard"])[0] in np.concatenate([b.words for b in toxicity.lex([f"One. Oh you {t} there. Two."], r)]), t
     assert r.words("book 45 page 1.5") == ["book", "45", "page", "1", ".", "5"]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab1.*! \nB", max_size=25)), max_size=8))
+def test_lines_are_read_as_one_by_one(texts):
+    """Hashed words and sentences of all texts at once against the regular expression on each."""
+    r = toxicity.Reader({"abba", "baab"})
+    want = []
+    for k, t in enumerate(texts):
+        n = 0
+        for w in [w for line in (t or "").lower().split("\n") for w in [*r.words(line), "\n"]]:
+            n += w in toxicity.STOPS
+            if w and w not in toxicity.STOPS:
+                want.append((k, n, int(toxicity.hash_words([w])[0])))
+    got = []
+    for b in toxicity.lex(texts, r):
+        got += list(zip(b.row.tolist(), b.sentence.tolist(), b.words.tolist(), strict=True))
+    breaks = lambda x: [i for i in range(1, len(x)) if x[i][:2] != x[i - 1][:2]]
+    assert [(r, w) for r, _, w in got] == [(r, w) for r, _, w in want]
+    assert breaks(got) == breaks(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(-5, 5), min_size=1, max_size=8), min_size=1, max_size=6))
+def test_best_score_of_every_sentence(rows):
+    heads = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
+    got = toxicity.best_scores(np.array([x for r in rows for x in r], float), heads)
+    assert np.allclose(got, [max([sum(r[i:j]) for i in range(len(r)) for j in range(i + 1, len(r) + 1)] + [0]) for r in rows])
+
+
 def test_extreme_values():
     rng = np.random.default_rng(2)
-    x = np.maximum(0, rng.gumbel(3, 0.7, 20000)).round(1)
-    b, w = np.unique(x, return_counts=True)
-    lam, k = toxicity.fit_extreme(b, np.full(len(b), 100.0), w)
-    assert abs(lam - 1 / 0.7) < 0.2
-    assert toxicity.p_value(12, 100, lam, k) < 1e-4 < toxicity.p_value(4, 100, lam, k)
+    bins = lambda x: np.unique((np.maximum(0, x) / toxicity.STEP).round(), return_counts=True)
+    for scale in (0.5, 0.7, 1.2):
+        x = rng.gumbel(0.5, scale, 60000)
+        clean, dirty = bins(x), bins(np.concatenate([x, np.full(60000, 15.0)]))  # the same with as many far above the law
+        for b, w in (clean, dirty):
+            lam, k = toxicity.fit_extreme(b * toxicity.STEP, w, 10.0)
+            assert abs(lam * scale - 1) < 0.1
+            assert abs(np.exp(-k * 10 * np.exp(-lam * 0.5)) - np.exp(-1)) < 0.05
+    assert toxicity.fit_extreme(np.array([9.0]), np.ones(1), 5.0) == (1.0, 0.2)
+
+
+BAD = "You are a worthless bastard and everybody laughs behind your back."
 
 
 def test_scores(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "source")
-    bad = "You are a worthless bastard and everybody laughs behind your back."
-    extra = [(90001, bad, "x"), (90002, f"{LONG}. {bad}", "x"), (90003, None, "x"), (90004, "", None), (90005, "The bastard title, page 3, stands before the full title.", "x"), (90006, bad, "x")]
+    extra = [(90001, BAD, "x"), (90002, f"{LONG}. {BAD}", "x"), (90003, None, "x"), (90004, "", None), (90005, "The bastard title, page 3, stands before the full title.", "x"), (90006, BAD, "x")]
     df = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, source string"))
     samples = spark.read.parquet(f"{tiny}/moderation_samples.parquet")
     scored, rates = toxicity.score_documents(df, "doc_id", "text", "source", samples, "text", "is_abusive")
     got = {r.doc_id: r for r in scored.collect()}
     assert len(got) == df.count()
     assert got[90001].flagged and got[90002].flagged and not got[90005].flagged
+    assert "bastard" in got[90001].passage and got[90002].n_words == 60_012
     assert got[90003].score == got[90004].score == 0 and got[90001].score == got[90006].score
     assert rates.where("source = 'x'").first().flagged == 3
     assert toxicity.score_documents(df.limit(0), "doc_id", "text", "source", samples, "text", "is_abusive")[0].count() == 0
@@ -457,60 +497,51 @@ def test_scores(spark, tiny):
 def test_neither_share_nor_length_raises_the_bar(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").where("text is not null").select("doc_id", "text", "source")
     samples = spark.read.parquet(f"{tiny}/moderation_samples.parquet")
-    bad = "You are a worthless bastard and everybody laughs behind your back."
     plain = "The list of old recordings lay on the table. "
     n = docs.count()
-    found = []
-    for extra in ([], [(10**6 + k, bad, "bad") for k in range(n)]):
-        more = [(1, bad, "x"), (2, plain * 20_000 + bad, "x"), (3, plain, "x"), *extra]
+    for extra in ([], [(10**6 + k, BAD, "bad") for k in range(n)]):
+        more = [(1, BAD, "x"), (2, plain * 20_000 + BAD, "x"), (3, plain, "x"), *extra]
         df = docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"))
         scored = toxicity.score_documents(df, "doc_id", "text", "source", samples, "text", "is_abusive")[0].where("flagged")
-        found.append({r.doc_id for r in scored.collect()})
-    assert {1, 2} <= found[0] and 3 not in found[0]
-    assert found[1] == found[0] | {10**6 + k for k in range(n)}
+        found = {r.doc_id for r in scored.collect()}
+        assert {1, 2} <= found and 3 not in found and {e[0] for e in extra} <= found
 
 
-def test_the_list_alone_finds_nothing_in_ordinary_phrases():
-    m = toxicity.Model([])
-    m.weigh(np.concatenate([np.zeros(len(m.number), np.int64), [10**6, 10**6]]))
-    for t in ("we miss you", "clean the toilet", "this book of yours belongs here", "run and jump", "sat down on it", "begging for time", "she swallowed the pill", "a parasites and throat clinic", "du bist da", "eres un amigo", "nackt auf", "toute nue", "partir la semaine"):
-        assert not m.segments(m.reader.words(toxicity.unify([t])[0]), 0.1), t
-    assert m.segments(["you", "bastard"], 1.0)
+def fitted(samples, docs):
+    m = toxicity.Model(samples)
+    blocks = list(toxicity.lex(docs, m.reader))
+    h, n = np.unique(np.concatenate([b.words for b in blocks]), return_counts=True)
+    m.fit([s for b in blocks for s in m.seeded(b)], 1.0, dict(zip(h.view(np.int64).tolist(), n.tolist(), strict=True)), int(n.sum()))
+    top, size = zip(*((toxicity.best_scores(m.score(b.words), b.heads()), np.diff(np.append(b.heads(), len(b.words)))) for b in blocks), strict=True)
+    b, w = np.unique((np.concatenate(top) / toxicity.STEP).round(), return_counts=True)
+    m.lam, m.k = toxicity.fit_extreme(b * toxicity.STEP, w, float(np.concatenate(size).mean()))
+    return m
 
 
-def test_one_unambiguous_word_is_enough(spark, tiny):
-    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "source")
-    samples = spark.read.parquet(f"{tiny}/moderation_samples.parquet")
-    frame = "Honestly, yonder gatekeeper seems quite the {} whenever strangers knock."
-    more = [(90001, frame.format("dickhead"), "x"), (90002, frame.format("d1ckhead") + " Rain fell.", "x"), (90003, frame.format("gentleman"), "x"), (90004, "The bastard title, page 7, stands before the full title.", "x")]
-    more += [(90005, frame.format("hoer"), "x"), *((91000 + k, "Zij hoer de klok.", "x") for k in range(50))]  # frequent in ordinary text here
-    df = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"))
-    scored = toxicity.score_documents(df, "doc_id", "text", "source", samples, "text", "is_abusive")[0].where("flagged and source = 'x'")
-    assert {r.doc_id for r in scored.collect()} == {90001, 90002}
-    assert toxicity.slots(["a", "7", "b"]) == [(".", "0"), ("a", "b"), ("0", ".")]
-
-
-def test_truncated_extreme_values():
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.gumbel(3, 1.2, 20000), np.full(20000, 12.0)]).round(1)  # half of them far above the law
-    b, w = np.unique(x, return_counts=True)
-    lam, k = toxicity.fit_extreme(b, np.ones(len(b)), w, 6.0)
-    assert abs(lam - 1 / 1.2) < 0.1
-    assert abs(toxicity.p_value(6, 1, lam, k) - 0.079) < 0.03
-    assert toxicity.fit_extreme(np.array([9.0]), np.ones(1), np.ones(1), 6.0) == (1.0, 1.0)
-    words = "a b . c ! d".split()
-    assert toxicity.highest(words, [2.0, 3.0, -4.0, -1.0, -4.0, 1.0]) == {5.0: 1, 0.0: 1, 1.0: 1}
+def flagged(m, text, alpha=1e-5):
+    return any((m.p_value(toxicity.best_scores(m.score(b.words), b.heads()), np.diff(np.append(b.heads(), len(b.words)))) < alpha).any() for b in toxicity.lex([text], m.reader) if len(b.words))
 
 
 def test_samples_are_told_apart(tiny):
+    """Held-out samples; the same without the law, that is with every positive score, tells nothing apart."""
     import duckdb
 
     rows = duckdb.sql(f"select text, is_abusive from '{tiny}/moderation_samples.parquet' order by hash(sample_id)").fetchall()
-    docs = [t for (t,) in duckdb.sql(f"select text from '{tiny}/documents.parquet'").fetchall()]
-    m = toxicity.Model(rows[:150])
-    m.weigh(m.count(docs))
-    right = sum((max([s for s, _, _ in m.segments(m.reader.words(toxicity.unify([t])[0]), 1.0)] + [0]) > 6) == bool(y) for t, y in rows[150:])
-    assert right >= 0.9 * len(rows[150:])
+    docs = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    m = fitted(rows[:150], docs)
+    got = [(flagged(m, t), flagged(m, t, 1.0), bool(y)) for t, y in rows[150:]]
+    assert sum(f == y for f, _, y in got) >= 0.9 * len(got)
+    assert sum(f for f, _, y in got if not y) <= 1 < sum(f for _, f, y in got if not y)
+
+
+def test_the_list_alone_finds_nothing_in_ordinary_phrases(tiny):
+    import duckdb
+
+    docs = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    m = fitted([], docs)
+    for t in ("we miss you", "clean the toilet", "this book of yours belongs here", "run and jump", "sat down on it", "begging for time", "she swallowed the pill", "a parasites and throat clinic", "du bist da", "eres un amigo", "nackt auf", "toute nue", "partir la semaine"):
+        assert not flagged(m, t), t
+    assert flagged(m, "oh you utter dickhead")
 
 
 def test_sentences():
