@@ -541,7 +541,7 @@ def test_the_list_alone_finds_nothing_in_ordinary_phrases(tiny):
     m = fitted([], docs)
     for t in ("we miss you", "clean the toilet", "this book of yours belongs here", "run and jump", "sat down on it", "begging for time", "she swallowed the pill", "a parasites and throat clinic", "du bist da", "eres un amigo", "nackt auf", "toute nue", "partir la semaine"):
         assert not flagged(m, t), t
-    assert flagged(m, "oh you utter dickhead")
+    assert flagged(m, "oh you fucking dickhead")
 
 
 def test_sentences():
