@@ -267,15 +267,39 @@ def test_calibration():
 @pytest.mark.parametrize(
     ("text", "kind"),
     [
-        ("It was late.", "closed"), ("“As it is.”", "closed"), ("Is it?", "closed"), ("It was la", "open"), ("It was late ", "open"), ("Room 5", "open"), ("It was l…", "ellipsis"),
-        ("Text.\nBest wishes,\nAnna", "special"), ("Text.\nViele Grüße\nAnna", "special"), ("List:\n- one\n- two", "special"), ("Text.\n\nNotes 3/40", "special"), ("Text.\n\nfile:///a/b/c.odt", "special"), ("Text.\n\nfile:///a/b/c", "open"), ("1.5;2.5\n3.5;4.5", "special"), ("Text.\n\nThe", "open"),
-        ("â€œas long as it agrees.â€\x9d", "closed"),
+        ("It was late.", "closed"), ("“As it is.”", "closed"), ("Is it?", "closed"), ("It was la", "open"), ("It was late ", "blank"), ("Room 5", "open"), ("It was l…", "ellipsis"),
+        ("Text.\nBest wishes,\nAnna", "name"), ("Text.\nViele Grüße\nAnna", "name"), ("List:\n- one\n- two", "item"), ("Text.\n\nNotes 3/40", "page"), ("Text.\n\nfile:///a/b/c.odt", "path"), ("Text.\n\nfile:///a/b/c", "short"), ("1.5;2.5\n3.5;4.5", "numbers"), ("Text.\n\nThe", "short"),
+        ("â€œas long as it agrees.â€\x9d", "closed"), ("List:\n- one\n- " + "two " * 900 + "x", "item"), ("See " + "long " * 900 + "file:///a/b.odt", "path"), ("/" * 100_000, "numbers"), (" \n ", "closed"),
     ],
 )
 def test_endings(text, kind):
     assert truncation.ending(text) == kind
 
 
+def at_and_off_a_limit():
+    """Three sources, one of which cuts at 300 characters with an ellipsis; complete texts of all end in one at times."""
+    rnd = random.Random(6)
+    rows, files = [], []
+    for k in range(1500):
+        text = ("some words go on and on " * 200)[: int(rnd.lognormvariate(5.6, 0.5)) + 20]
+        cut = k % 3 == 0 and len(text) > 299
+        text = text[:299] + "…" if cut else text.rstrip() + rnd.choice(["…", ".", "."])
+        rows.append((f"u{k}", [f"f{k}"], text, cut))
+        files.append((f"f{k}", f"s{k % 3}"))
+    return rows, files
+
+
+def test_the_censoring_posterior_decides(spark, monkeypatch):
+    rows, files = at_and_off_a_limit()
+    ies, f = spark.createDataFrame(rows, "urn string, stored_as array<string>, plain_text string, really boolean"), spark.createDataFrame(files, "url string, data_source string")
+    find = lambda: {r.urn for r in truncation.find_cut(ies, "urn", "plain_text", "stored_as", f, "url", "data_source")[0].where("cut").collect()}
+    got, want = find(), {u for u, _, _, cut in rows if cut}
+    same = [u for u, _, t, cut in rows if not cut and t.endswith("…")]
+    assert got >= want and len(want) > 200 and len(got & set(same)) <= 0.02 * len(same) and len(same) > 300
+    monkeypatch.setattr(truncation, "limits_of", lambda *a: [])
+    assert find() != got
+
+
 def test_limits_are_found():
     rng = np.random.default_rng(4)
     x = np.exp(rng.normal(5.8, 0.5, 4000)).astype(int)
