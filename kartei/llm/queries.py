@@ -84,6 +84,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where("leaked").select("doc_id", "item_id").distinct()
 
 
+def p6_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an edited copy of a test item, by alignment, that is not a leak word for word."""
+    return _leaks(spark, sf_dir).where("edited").select("doc_id", "item_id", "score").distinct()
+
+
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each test item the documents it leaked into, whole or in part, and the best alignment."""
     found = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_if("leaked").alias("documents"), F.count_if(~F.col("leaked")).alias("partly"), F.max("score").alias("best_score"))
@@ -125,7 +130,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_forms, p2_found, p2_unmatched, p3_found, p3_restored, p4_found, p4_segments, p5_found, p5_rates, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    every = (p1_found, p1_forms, p2_found, p2_unmatched, p3_found, p3_restored, p4_found, p4_segments, p5_found, p5_rates, p6_found, p6_edited, p6_items, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in every}
 
 

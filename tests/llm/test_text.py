@@ -355,8 +355,8 @@ def test_leaks_match_brute_force(spark):
         docs.append((k, rnd.choice([" ", ",\n "]).join(text)))
     docs += [(900, None), (901, ""), (902, LONG + items[1][1])]
     want = {(d, i) for d, t in docs for i, u in items if t and u and (c := covered_by_brute_force(t, u))[0] * 2 >= c[1] > 0 and c[0]}
-    for block in (20_000, 4):
-        out = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", block_items=block)
+    for block in (1 << 26, 300):
+        out = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", block_bytes=block)
         assert {(r.doc_id, r.item_id) for r in out.where("leaked").collect()} == want
     empty = leakage.find_leaks(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([], "item_id long, text string"), "item_id", "text")
     assert empty.count() == 0
@@ -405,6 +405,40 @@ def test_alignment(a, b):
     assert leakage.align(np.array(a, np.uint64), np.array(b, np.uint64)) == smith_waterman(a, b)
 
 
+def test_edited_copies_are_found_by_alignment(spark, tiny, monkeypatch):
+    """A word changed every five words, words left out and put in: no run of eight is left."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(20, 60)))) for k in range(30)]
+    docs, want = [], set()
+    for k in range(300):
+        text = [rnd.choice(vocabulary) for _ in range(rnd.randint(20, 200))]
+        if k % 3 == 0:
+            i, w = rnd.choice(items)
+            w, a = w.split(), rnd.randint(0, 4)
+            copy = []
+            for n, x in enumerate(w):
+                how = rnd.choice("cdi") if n % 5 == a else ""
+                copy += {"c": ["other"], "d": [], "i": [x, "more"], "": [x]}[how]
+            text[10:10] = copy
+            want.add((k, i))
+        elif k % 3 == 1:  # two short pieces in the wrong order
+            w = rnd.choice(items)[1].split()
+            text[5:5], text[0:0] = w[:5], w[-5:]
+        docs.append((k, " ".join(text)))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, "doc_id", "text", q, "item_id", "text").where("edited").collect()}
+    got = found()
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(got)
+    assert {(k, i) for k, i in want if leakage.Items([items[i]], 8, 0.5).match([docs[k][1]], 0.5)} >= got & want
+    m, texts = leakage.Items(items, 8, 0.5), [t for _, t in docs]
+    with_alignment = [x for x in m.match(texts, 0.5) if x[-1]]
+    for constant in (0, 10**6):
+        monkeypatch.setattr(leakage, "align_many", lambda a, b, c=constant: np.full(len(a), c))
+        assert [x for x in m.match(texts, 0.5) if x[-1]] != with_alignment
+        assert len([x for x in m.match(texts, 0.5) if x[-1]]) == 0 if not constant else len([x for x in m.match(texts, 0.5) if x[-1]]) > len(with_alignment)
+
+
 # 7: mixing
 
 
