@@ -4,7 +4,8 @@ The reference entries (labels and alternative labels) form a BK-tree under the u
 distance, which is a metric, so the triangle inequality prunes safely and a search returns every entry within the
 threshold. Searches run for all keys of an Arrow batch at once: a frontier of (key, node) pairs is measured with one
 vectorised dynamic programme per level. A list of up to ``shard_entries`` entries is one tree in every task; a longer
-one is cut into shards that each see all values, and the winners of the shards are merged by a minimum.
+one is cut into shards by key that each see all values. A shard gives all that may count, and what wins, what is the only
+reading of a shortened name and what a nearer entry rules out is decided over all shards, so their number changes nothing.
 
 Defined results: NULL and blank values, and values that are exactly a label, give no row; a value that names several
 entries gives one row for each; one that names none gives entry -1; equal distances go to the smaller entry id; equal
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartei.llm.skew import spread_join
+from kartei.session import materialize
 
 #: Words that may stand beside an entry without meaning anything.
 FILLERS = frozenset("a and diverse etc genre genres live misc miscellaneous music musik musique música old other some style stuff the various general mixed my mix new type".split())
 SPLIT = re.compile(r"[;,/&|+\n]")
 NUMBER = re.compile(r"\s*\(\s*(\d{1,9})\s*\)|^\s*(\d{1,9})\s*$")
-MOST_WORDS = 6
+NUMBERED = 1 << 30  # parts from here on are numbers of entries
+NEAR, SHORT, SHORT_OTHER = 0, 1, 2
 
 
 def fold(text: str) -> str:
@@ -112,9 +115,11 @@ class BKTree:
 
 
 class Matcher:
-    """Scores the values against one shard of entries: rows (entry id, label, 0 or 1 for an alternative label)."""
+    """Reads values against one shard of entries: rows (entry id, label, 0 or 1 for an alternative label)."""
 
-    def __init__(self, entries: tuple[tuple[int, str, int], ...]):
+    def __init__(self, entries: tuple[tuple[int, str, int], ...], most_words: int):
+        """most_words: words of the longest label of all shards."""
+        self.most_words = most_words
         self.ids = {i for i, _, _ in entries}
         self.of_key: dict[str, int] = {}
         self.words = [(other, i, fold(label).split()) for i, label, other in sorted(entries)]
@@ -123,22 +128,18 @@ class Matcher:
                 self.of_key.setdefault(k, i)
         self.tree = BKTree(sorted(self.of_key))
 
-    def shortened(self, text: str) -> int | None:
-        """The one entry whose words begin like the words of a shortened text ("mus. theatre", "D&B")."""
+    def shortened(self, text: str) -> set[tuple[int, int]]:
+        """(0 or 1 for an alternative label, entry) whose words begin like those of a shortened text ("mus. theatre", "D&B")."""
         raw = re.findall(r"[^\W_]+\.?", text.replace("&", " and "))
         words = [(fold(w), w.endswith(".") or len(w) == 1) for w in raw]
         if not any(cut for _, cut in words) or len(words) == 1 and len(words[0][0]) < 3:
-            return None
+            return set()
 
         def fits(short: str, full: str) -> bool:
             rest = iter(full)
             return short[:1] == full[:1] and all(c in rest for c in short)
 
-        for other in (0, 1):
-            found = {i for o, i, full in self.words if o == other and len(full) == len(words) and all(w == f or cut and (f.startswith(w) if len(words) == 1 else fits(w, f)) for (w, cut), f in zip(words, full, strict=True))}
-            if found:
-                return found.pop() if len(found) == 1 else None
-        return None
+        return {(o, i) for o, i, full in self.words if len(full) == len(words) and all(w == f or cut and (f.startswith(w) if len(words) == 1 else fits(w, f)) for (w, cut), f in zip(words, full, strict=True))}
 
     @staticmethod
     def parts(value: str) -> list[tuple[int, str]]:
@@ -157,17 +158,17 @@ class Matcher:
             return [("".join(words), 0.0, True)] if words else []
         cost = [0.5 if w in FILLERS else 3.0 for w in words]
         total = sum(cost)
-        return [("".join(words[i:j]), total - sum(cost[i:j]), j - i == len(words)) for i in range(len(words)) for j in range(i + 1, min(len(words), i + MOST_WORDS) + 1)]
+        return [("".join(words[i:j]), total - sum(cost[i:j]), j - i == len(words)) for i in range(len(words)) for j in range(i + 1, min(len(words), i + self.most_words) + 1)]
 
-    def match(self, values: list[str]) -> Iterator[tuple[str, int, float, int]]:
-        """(value, part, score, entry id) of the best entry of every part that names one."""
+    def match(self, values: list[str]) -> Iterator[tuple[str, int, int, bool, float, int]]:
+        """(value, part, kind, whole, score, entry) of all that may name an entry; whole: with all words of the part."""
         read, wanted = [], {}
         for v in values:
             for number, text in self.parts(v):
                 if number >= 0:
                     for m in NUMBER.finditer(text):
                         if (i := int(m[1] or m[2])) in self.ids:
-                            yield v, 1000 + number, 0.0, i
+                            yield v, NUMBERED + number, NEAR, True, 0.0, i
                     text = NUMBER.sub(" ", text)
                 for key, left, whole in self.spans(number, text):
                     read.append((v, number, key, left, text if whole else None))
@@ -176,61 +177,76 @@ class Matcher:
         hits, _ = self.tree.search(keys, [threshold(len(k) + 2) if len(k) > 2 else 0 for k in keys])
         near: dict[str, list[tuple[int, int]]] = {}
         for i, k, d in hits:
-            if d <= threshold(len(self.tree.keys[k])):
+            # a filler counts only where it is an entry itself
+            if d <= threshold(len(self.tree.keys[k])) and (not d or keys[i] not in FILLERS):
                 near.setdefault(keys[i], []).append((d, self.of_key[self.tree.keys[k]]))
         best: dict[tuple[str, int], tuple[float, int]] = {}
+        full: set[tuple[str, int]] = set()
         for v, number, key, left, text in read:
-            if key in FILLERS and key not in self.of_key:
-                continue
             for d, entry in near.get(key, ()):
                 if d and left > 2 and len(key) < 6:
                     continue  # a short inexact word beside unknown ones
-                score = 2 * d + left + (1.5 if number == -2 and d else 0)
-                best[v, number] = min(best.get((v, number), (99.0, 0)), (score, entry))
-            if text is not None and number != -2 and key not in near and (entry := self.shortened(text)) is not None:
-                best[v, number] = min(best.get((v, number), (99.0, 0)), (2.5, entry))
+                found = (2 * d + left + (1.5 if number == -2 and d else 0), entry)
+                best[v, number] = min(best.get((v, number), found), found)
+            if text is not None and key in near:
+                full.add((v, number))
+            elif text is not None and number != -2 and key not in FILLERS:
+                for other, entry in self.shortened(text):
+                    yield v, number, SHORT_OTHER if other else SHORT, True, 2.5, entry
         for (v, number), (score, entry) in best.items():
-            yield v, number, score, entry
+            yield v, number, NEAR, (v, number) in full, score, entry
 
 
 @functools.cache
-def _matcher(entries: tuple[tuple[int, str, int], ...]) -> Matcher:
-    return Matcher(entries)
+def _matcher(entries: tuple[tuple[int, str, int], ...], most_words: int) -> Matcher:
+    return Matcher(entries, most_words)
 
 
 def map_values(values: DataFrame, column: str, reference: DataFrame, entry_id: str, label: str, alternatives: str, shard_entries: int = 20_000) -> DataFrame:
-    """(value, entry) of every distinct non-blank value of a column that is not exactly a label."""
+    """(value, entry) of every distinct non-blank value of a column that is not exactly a label.
+
+    Each shard is a pass over the distinct values, which are checkpointed if there are several.
+    """
+    spark = values.sparkSession
     labels = reference.select(F.col(entry_id).cast("long").alias("entry"), F.col(label).alias("label"), F.lit(0).alias("other"))
     more = reference.select(F.col(entry_id).cast("long").alias("entry"), F.explode(alternatives).alias("label"), F.lit(1).alias("other"))
-    entries = labels.unionByName(more).where("label is not null").distinct()
-    blank = F.regexp_replace(F.col("value"), r"[\s  -​　 ﻿]+", "") == ""
+
+    @F.pandas_udf("key string, words int")
+    def keyed(label: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"key": label.map(key_of), "words": label.map(lambda x: len(fold(x).split()))})
+
+    entries = materialize(labels.unionByName(more).where("label is not null and entry is not null").distinct().withColumn("k", keyed("label")))
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("k.words"), F.lit(0)).alias("words")).first()
+    shards = max(1, -(-size.n // shard_entries))
+    blank = F.regexp_replace(F.col("value"), r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+", "") == ""
     wanted = values.select(F.col(column).alias("value")).where("value is not null").distinct().where(~blank)
     wanted = wanted.join(labels.select(F.col("label").alias("value")).where("value is not null"), "value", "left_anti")
-    out = "value string, part int, score double, entry long"
-    shards = max(1, -(-entries.count() // shard_entries))
-    if shards == 1:
-        one = tuple(sorted((r[0], r[1], r[2]) for r in entries.limit(shard_entries).collect()))
-
-        def run(batches):
+    if shards > 1:
+        wanted = materialize(wanted)
+    found = []
+    for n in range(shards):
+        mine = entries.where(F.pmod(F.xxhash64("k.key"), F.lit(shards)) == n) if shards > 1 else entries
+        one = spark.sparkContext.broadcast(tuple(sorted((r[0], r[1], r[2]) for r in mine.select("entry", "label", "other").collect())))
+
+        def run(batches, one=one, most_words=size.words):
             for b in batches:
-                yield pd.DataFrame(list(_matcher(one).match(b["value"].tolist())), columns=["value", "part", "score", "entry"])
-
-        found = wanted.mapInPandas(run, out)
-    else:
-        salts = 64
-        sharded = entries.withColumn("shard", F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = wanted.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-        def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            tree = Matcher(tuple(zip(right["entry"].tolist(), right["label"].tolist(), right["other"].tolist(), strict=True)))
-            return pd.DataFrame(list(tree.match(left["value"].tolist())), columns=["value", "part", "score", "entry"])
+                yield pd.DataFrame(list(_matcher(one.value, most_words).match(b["value"].tolist())), columns=["value", "part", "kind", "whole", "score", "entry"])
 
-        found = salted.groupBy("shard", "salt").cogroup(sharded.groupBy("shard", "salt")).applyInPandas(both, out)
+        found.append(wanted.mapInPandas(run, "value string, part int, kind int, whole boolean, score double, entry long"))
+    found = functools.reduce(DataFrame.unionByName, found)
     # the winner of each part over all shards; numbers name entries of their own
-    best = found.groupBy("value", "part", F.when(F.col("part") >= 1000, F.col("entry")).alias("own")).agg(F.min(F.struct("score", "entry")).alias("w"))
+    of = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("entry")))
+    best = found.groupBy("value", "part", F.when(F.col("part") >= NUMBERED, F.col("entry")).alias("own")).agg(
+        F.min(F.when(F.col("kind") == NEAR, F.struct("score", "entry"))).alias("near"),
+        F.coalesce(F.bool_or((F.col("kind") == NEAR) & F.col("whole")), F.lit(False)).alias("whole"),
+        *[f(k).alias(name) for k, f, name in ((SHORT, lambda k: of(k, F.min), "a"), (SHORT, lambda k: of(k, F.max), "z"), (SHORT_OTHER, lambda k: of(k, F.min), "oa"), (SHORT_OTHER, lambda k: of(k, F.max), "oz"))],
+    )
+    only = F.when(F.col("a").isNotNull(), F.when(F.col("a") == F.col("z"), F.col("a"))).when(F.col("oa") == F.col("oz"), F.col("oa"))
+    short = F.when(~F.col("whole") & only.isNotNull(), F.struct(F.lit(2.5).alias("score"), only.alias("entry")))
+    best = best.select("value", "part", F.least("near", short).alias("w")).where("w is not null")
     ways = best.groupBy("value").agg(F.collect_set(F.struct("part", F.col("w.score").alias("score"), F.col("w.entry").alias("entry"))).alias("ways"))
     pick = lambda test: F.filter("ways", test)
-    number, turned, whole, pieces = pick(lambda w: w.part >= 1000), pick(lambda w: w.part == -2), pick(lambda w: w.part == -1), pick(lambda w: w.part.between(0, 999))
+    number, turned, whole, pieces = pick(lambda w: w.part >= NUMBERED), pick(lambda w: w.part == -2), pick(lambda w: w.part == -1), pick(lambda w: w.part.between(0, NUMBERED - 1))
     chosen = F.when(F.size(number) > 0, number).when(F.size(whole) > 0, whole).when(F.size(turned) > 0, turned).otherwise(pieces)
     named = ways.select("value", F.explode(F.array_distinct(F.transform(chosen, lambda w: w.entry))).alias("entry"))
     return wanted.join(named, "value", "left").select("value", F.coalesce("entry", F.lit(-1)).alias("entry"))

@@ -156,6 +156,20 @@ def test_values(spark, shard):
     assert got == VALUES
 
 
+def test_shards_change_nothing(spark, tiny):
+    """Whatever the number of shards: real values and list, and readings that depend on entries of several shards."""
+    genres = spark.read.parquet(f"{tiny}/genres.parquet").select("genre_id", "pref_label", "alt_labels")
+    odd = [(901, "Musical Theatre Play", None), (902, "Music Therapy Play", None), (909, "hip-hop beat", None), (903, "Other", ["Hip Hop Beat"]), (910, "The Old Time Mountain String Band Music Tradition", None), (911, "Mixed", None)]
+    genres = genres.union(spark.createDataFrame(odd, genres.schema))
+    odd_values = [(v,) for v in ("mus. the. play", "hiphop beat", "jazz; the old time mountain string band music tradition", "mixed", "mixd", "m. th. play", "nothing " * 300)]
+    values = spark.read.parquet("/root/testdata/sf0.01/ies.parquet").select("genre").union(spark.createDataFrame(odd_values, "genre string"))
+    got = [sorted(map(tuple, canonical.map_values(values, "genre", genres, "genre_id", "pref_label", "alt_labels", n).collect())) for n in (20_000, 50, 5)]
+    assert got[0] == got[1] == got[2]
+    named = {v: {e for w, e in got[0] if w == v} for (v,) in odd_values}
+    assert named["mus. the. play"] == {-1} and named["hiphop beat"] == {909} and named["mixed"] == {911} and named["nothing " * 300] == {-1}
+    assert 910 in named["jazz; the old time mountain string band music tradition"] and len(named["jazz; the old time mountain string band music tradition"]) == 2
+
+
 def test_values_of_an_empty_list(spark):
     none = spark.createDataFrame([], "genre_id int, pref_label string, alt_labels array<string>")
     df = spark.createDataFrame([("u", "Rock")], "urn string, genre string")
