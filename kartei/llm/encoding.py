@@ -42,6 +42,7 @@ LOSSY = "replaced"
 BLOCK = 5000  # segments scored at once
 MIXED = re.compile("[a-zA-Z][\u0400-\u04ff]|[\u0400-\u04ff][a-zA-Z]")
 WORD = re.compile(r"[^\W\d_]+")
+DOUBLE = re.compile(r"[^\x00-\x7f]{2}")
 PIECE = re.compile(r"[^ \n\r\t]*[^\x00-\x7f][^ \n\r\t]*")
 
 
@@ -220,14 +221,22 @@ def repair_texts(texts: list[str | None], model: Garbling) -> list[tuple[str | N
     return out
 
 
+@functools.lru_cache(1 << 16)
+def _undone(piece: str, chain: str) -> str | None:
+    return invert(piece, chain)
+
+
 def undo_plain(text: str) -> str:
-    """A text with its UTF-8 chains undone where words decode strictly: no model needed."""
-    if text.isascii():
+    """A text with its UTF-8 chains undone where words decode strictly: no model needed.
+
+    What was stored in UTF-8 beyond ASCII took two bytes or more, so only words with two such characters in a row can decode.
+    """
+    if text.isascii() or not DOUBLE.search(text):
         return text
+    pieces = [p for p in PIECE.findall(text) if DOUBLE.search(p)]
     for chain in ("utf-8 as cp1252 twice", "utf-8 as cp1252", "utf-8 as latin-1", "utf-8 as mac-roman", "utf-8 as cp437", "utf-8 as cp850", "utf-8 as cp1251"):
-        new = PIECE.sub(lambda m, c=chain: invert(m.group(), c) or m.group(), text)
-        if new != text:
-            return new
+        if any(_undone(p, chain) for p in pieces):
+            return PIECE.sub(lambda m, c=chain: _undone(m.group(), c) or m.group(), text)
     return text
 
 

@@ -7,6 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Rows scored at once, and rows of a training step.
+ROWS, STEP = 256, 64
+
+
 @dataclass
 class Softmax:
     """weights: (features, classes) float32; idf: weight of a feature's count; scale: what a row's weights sum to."""
@@ -24,8 +28,10 @@ class Softmax:
         if len(full):
             w = self.idf[idx]
             total = np.add.reduceat(w, off[full])
-            for c in range(out.shape[1]):
-                out[full, c] = np.add.reduceat(w * self.weights[idx, c], off[full]) * (self.scale / total)
+            for at in range(0, len(full), ROWS):
+                rows = full[at : at + ROWS]
+                a, b = off[rows[0]], off[rows[-1] + 1]
+                out[rows] = np.add.reduceat(w[a:b, None] * self.weights[idx[a:b]], off[rows] - a, axis=0) * (self.scale / total[at : at + ROWS, None])
         return out
 
     def probabilities(self, idx: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -44,35 +50,45 @@ def fit(idx: np.ndarray, off: np.ndarray, y: np.ndarray, classes: int, dim: int,
     """Every held_out-th row (in a shuffled order) is kept for the temperature."""
     rng = np.random.default_rng(seed)
     idf = inverse_frequency(idx, off, dim)
-    rows = []
-    for a, b in zip(off[:-1], off[1:], strict=True):
-        f, c = np.unique(idx[a:b], return_counts=True)
-        v = c * idf[f]
-        rows.append((f, (v * (scale / v.sum()) if len(v) else v).astype(np.float32)))
-    order = rng.permutation(len(rows))
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    cell, times = np.unique(row * dim + idx, return_counts=True)
+    row, feature = cell // dim, cell % dim
+    value = times * idf[feature]
+    total = np.bincount(row, value, len(off) - 1)
+    value = (value * scale / total[row]).astype(np.float32)
+    start = np.searchsorted(row, np.arange(len(off)))
+    order = rng.permutation(len(off) - 1)
     kept, train = order[::held_out], np.delete(order, np.arange(0, len(order), held_out))
     if not len(train):
         train = order
-    z, g2 = np.zeros((dim, classes), np.float32), np.zeros((dim, classes), np.float32)
+    z, root = np.zeros((dim, classes), np.float32), np.zeros((dim, classes), np.float32)  # root: of the sum of squared gradients
+    seen, place = np.zeros(dim, bool), np.zeros(dim, np.int64)
 
     def current(f: np.ndarray) -> np.ndarray:
         zi = z[f]
-        return -(zi - np.sign(zi) * l1) * (np.abs(zi) > l1) / ((beta + np.sqrt(g2[f])) / alpha + l2)
+        return -(zi - np.sign(zi) * l1) * (np.abs(zi) > l1) / ((beta + root[f]) / alpha + l2)
 
     for _ in range(epochs):
-        for r in rng.permutation(train):
-            f, v = rows[r]
-            if not len(f):
-                continue
+        some = rng.permutation(train)
+        some = some[start[some + 1] > start[some]]
+        for k in range(0, len(some), STEP):
+            step = some[k : k + STEP]
+            size = start[step + 1] - start[step]
+            at = np.repeat(start[step] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            seen[feature[at]] = True
+            f = np.flatnonzero(seen)
+            seen[f] = False
+            place[f] = np.arange(len(f))
+            x = np.zeros((len(step), len(f)), np.float32)
+            x[np.repeat(np.arange(len(step)), size), place[feature[at]]] = value[at]
             w = current(f)
-            s = v @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y[r]] -= 1
-            g = v[:, None] * p[None, :]
-            sigma = (np.sqrt(g2[f] + g * g) - np.sqrt(g2[f])) / alpha
-            z[f] += g - sigma * w
-            g2[f] += g * g
+            s = x @ w
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(step)), y[step]] -= 1
+            new = np.sqrt(root[f] ** 2 + (x * x).T @ (p * p))
+            z[f] += x.T @ p - (new - root[f]) / alpha * w
+            root[f] = new
     model = Softmax(current(np.arange(dim)).astype(np.float32), idf, scale)
     model.temperature = calibrate(np.concatenate([model.logits(*pick(idx, off, r)) for r in kept]) if len(kept) else np.zeros((0, classes)), y[kept])
     return model

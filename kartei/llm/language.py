@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartei.llm.arrowtext import sentences
-from kartei.llm.encoding import invert, undo_plain
+from kartei.llm.encoding import DOUBLE, invert, undo_plain
 from kartei.llm.ftrl import Softmax, fit
 
 # ISO 639 codes and names of the languages, in English and in themselves.
@@ -54,6 +54,8 @@ def label_code(column):
 
 def readable(sentence: str) -> str:
     """A sentence with plain garbling undone: UTF-8 chains, and Cyrillic shown as accented Latin letters."""
+    if not DOUBLE.search(sentence):
+        return sentence
     s = undo_plain(sentence)
     letters = LETTERS.findall(s)
     if sum(c in ACCENTED for w in letters for c in w) > 0.6 * sum(map(len, letters)):
