@@ -99,11 +99,11 @@ def train(labelled: list[tuple[str, str]], most: int = 12_000, seed: int = 3) ->
     pool = [(p, y) for s, y in raw if len((p := plain(readable(s))).split()) > 2]
     pool = [pool[i] for i in rng.permutation(len(pool))[:most]]
     model = None
-    for epochs in (1, 3):
+    for _ in range(2):
         if model is not None:
             p = model.probabilities(*char_ngrams([t for t, _ in pool]))
             pool = [x for x, q in zip(pool, p, strict=True) if q[x[1]] > 0.5]
-        model = fit(*char_ngrams([t for t, _ in pool]), np.array([c for _, c in pool]), len(LANGUAGES), DIM, epochs=epochs)
+        model = fit(*char_ngrams([t for t, _ in pool]), np.array([c for _, c in pool]), len(LANGUAGES), DIM, epochs=3)
     return model
 
 
