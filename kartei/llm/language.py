@@ -37,6 +37,8 @@ NAMES = {
 }
 LANGUAGES = list(NAMES)
 CODE_OF = {n: c for c, names in NAMES.items() for n in names.split()}
+#: The least confidence of a full sentence in a second language, and of one of less than four words.
+SURE, SURE_SHORT = 0.45, 0.98
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
 QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 NOISE = re.compile(r"\b\w+:/+\S+|/\S+/\S+|[\d_]+")
@@ -108,7 +110,7 @@ def train(labelled: list[tuple[str, str]], most: int = 12_000, seed: int = 3) ->
 
 
 def classify(texts: list[str | None], model: Softmax) -> list[list[tuple[str, str, float, int, bool]]]:
-    """For each text (sentence, language, confidence, letters, full sentence) of its sentences with letters."""
+    """For each text (sentence, language, confidence, letters, full and sure) of its sentences with letters."""
     where, raw, bare = [], [], []
     for i, t in enumerate(texts):
         for s in sentences(t or ""):
@@ -121,13 +123,14 @@ def classify(texts: list[str | None], model: Softmax) -> list[list[tuple[str, st
         top = p.argmax(axis=1)
         for k, i in enumerate(where):
             words = bare[k].split()
-            full = len(words) >= 4 and raw[k].rstrip("”’»\"')]")[-1:] in tuple(".!?…")
-            out[i].append((raw[k], LANGUAGES[top[k]], float(p[k, top[k]]), len(bare[k]) - 1 - len(words), full))
+            ends = raw[k].rstrip("”’»\"')]")[-1:] in tuple(".!?…")
+            full = ends and p[k, top[k]] >= (SURE if len(words) >= 4 else SURE_SHORT)
+            out[i].append((raw[k], LANGUAGES[top[k]], float(p[k, top[k]]), len(bare[k]) - 1 - len(words), bool(full)))
     return out
 
 
-def languages(found: list[tuple[str, str, float, int, bool]], sure: float = 0.45) -> dict[str, float]:
-    """Language -> confidence of a text: the main one by weight, others with a full sentence of that confidence."""
+def languages(found: list[tuple[str, str, float, int, bool]]) -> dict[str, float]:
+    """Language -> confidence of a text: the main one by weight, others with a full sentence that is sure enough."""
     weight: dict[str, float] = {}
     share: dict[str, list[float]] = {}
     for _, lang, conf, letters, _ in found:
@@ -136,7 +139,7 @@ def languages(found: list[tuple[str, str, float, int, bool]], sure: float = 0.45
     if not weight:
         return {}
     main = max(sorted(weight), key=weight.get)
-    return {lang: float(np.mean(share[lang])) for lang in weight if lang == main or any(s[1] == lang and s[4] and s[2] >= sure for s in found)}
+    return {lang: float(np.mean(share[lang])) for lang in weight if lang == main or any(s[1] == lang and s[4] for s in found)}
 
 
 def training_rows(df: DataFrame, key: str, text: str, label: str, rows: int) -> list[tuple[str, str]]:
