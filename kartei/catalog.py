@@ -140,9 +140,7 @@ def with_availability(df: DataFrame, roots: DataFrame, show_all: bool) -> DataFr
 
 
 def page(df: DataFrame, order: list[str | Column], offset: int = 0, limit: int = -1) -> DataFrame:
-    """ORDER BY with OFFSET and LIMIT; a negative limit is none. Without either the order is left to the reader."""
-    if offset <= 0 and limit < 0:
-        return df
+    """ORDER BY with OFFSET and LIMIT; a negative limit is none. An unlimited list is sorted by ranges, over all tasks."""
     df = df.orderBy(*order)
     if offset > 0:
         df = df.offset(offset)

@@ -94,6 +94,7 @@ MODULES: dict[str, tuple[str, str]] = {
     "iso": ("playlists", "iso"),
     "mp3": ("audio", "mp3"),
     "libav": ("audio", "container"),
+    "mediainfo": ("audio", "container"),
     "jpeg": ("images", "jpeg"),
     "png": ("images", "png"),
     "gif": ("images", "gif"),
@@ -148,15 +149,23 @@ def extract_one(content: bytes | None, url: str, mime: str | None, name: str | N
     return url, mime, name, list(r.types or types), r.get("nie:title"), limit_text(text, max_text) if text else None, props, kids, None
 
 
-def extract(files: DataFrame, max_text: int = MAX_TEXT, deadline: float = DEADLINE) -> DataFrame:
-    """files(url, mime_type, module, rdf_types, content) to the rows of SCHEMA; rows with an error have no metadata."""
+def extract(files: DataFrame, max_text: int = MAX_TEXT, deadline: float = DEADLINE, keep: tuple[str, ...] = (), at_once: int = 0) -> DataFrame:
+    """files(url, mime_type, module, rdf_types, content) to the rows of SCHEMA; rows with an error have no metadata.
+
+    Columns to ``keep`` go through unchanged, so nothing need be joined back. at_once: rows of a result batch, all of an
+    Arrow batch for 0.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (b.iloc[k : k + (at_once or max(1, len(b)))] for b in batches for k in range(0, len(b), at_once or max(1, len(b)))):
             rows = [extract_one(r.content, r.url, r.mime_type, r.module, [] if r.rdf_types is None else list(r.rdf_types), max_text, deadline) for r in b.itertuples()]
-            yield pd.DataFrame(rows, columns=["url", "mime_type", "module", "rdf_types", "title", "plain_text", "props", "children", "error"])
+            out = pd.DataFrame(rows, columns=["url", "mime_type", "module", "rdf_types", "title", "plain_text", "props", "children", "error"])
+            for c in keep:
+                out[c] = b[c].to_numpy()
+            yield out
 
-    return files.select("url", "mime_type", "module", "rdf_types", "content").mapInPandas(run, SCHEMA)
+    kept = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in keep)
+    return files.select("url", "mime_type", "module", "rdf_types", "content", *keep).mapInPandas(run, SCHEMA + kept)
 
 
 def errors(extracted: DataFrame) -> DataFrame:

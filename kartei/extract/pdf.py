@@ -52,10 +52,13 @@ def pdf(content: bytes, info: Info) -> Resource:
         end = content.find(b"endstream", m.end())
         body, head = content[m.end() : end if end > 0 else len(content)], m[1]
         if b"FlateDecode" in head:
+            unpack = zlib.decompressobj()
             try:
-                body = zlib.decompressobj().decompress(body, LIMIT)
+                body = unpack.decompress(body, LIMIT)
             except zlib.error:
                 continue
+            if unpack.unconsumed_tail:
+                raise Unreadable(f"a stream of more than {LIMIT} bytes")
         if b"/ObjStm" in head:
             objects += b"\n" + body
         elif b"/Metadata" in head and b"/XML" in head:

@@ -151,7 +151,7 @@ def apply_xmp(r: Resource, data: bytes) -> None:
             got = {local(k): v for x in li.iter() for k, v in x.attrib.items()} | {local(x.tag): x.text.strip() for x in li.iter() if x.text and x.text.strip()}
             kind = next((c for word, c in REGION if got.get("Type", "").lower().startswith(word)), "nfo:roi-content-undefined")
             n += 1
-            r.child("nfo:RegionOfInterest", n, nie__title=got.get("Name"), nfo__regionOfInterestType=kind if got.get("Type") else None, nfo__regionOfInterestX=got.get("x"), nfo__regionOfInterestY=got.get("y"), nfo__regionOfInterestWidth=got.get("w"), nfo__regionOfInterestHeight=got.get("h"), nie__description=got.get("Description"))
+            r.child("nfo:RegionOfInterest", n, nie__title=got.get("Name"), nfo__regionOfInterestType=kind if got.get("Type") else "nfo:region-content-undefined", nfo__regionOfInterestX=got.get("x"), nfo__regionOfInterestY=got.get("y"), nfo__regionOfInterestWidth=got.get("w"), nfo__regionOfInterestHeight=got.get("h"), nie__description=got.get("Description"))
 
 
 IPTC = {(2, 5): "nie:title", (2, 25): "keyword", (2, 55): "date", (2, 80): "byline", (2, 90): "city", (2, 92): "sublocation", (2, 95): "state", (2, 101): "country", (2, 105): "headline", (2, 110): "credit", (2, 116): "nie:copyright", (2, 120): "nie:description", (2, 131): "orientation"}

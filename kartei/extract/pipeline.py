@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 from kartei.extract.base import MAX_TEXT, extract
 from kartei.extract.playlists import cue_tracks
 from kartei.operators.rules import match_rules
+from kartei.session import materialize
 
 
-def run(files: DataFrame, rules: DataFrame, max_text: int = MAX_TEXT) -> tuple[DataFrame, DataFrame]:
+#: MIME types that are broadcast with what the rules say of them.
+MOST_KINDS = 100_000
+
+
+def run(files: DataFrame, rules: DataFrame, max_text: int = MAX_TEXT, at_once: int = 0) -> tuple[DataFrame, DataFrame]:
     """files(url, mime_type, content) to (interpretations, hashes).
 
     Every file gets the module, graph, types and hash of its rules. A file whose rules have no graph is not extracted.
-    Rows are spread by url before the work, since sizes differ widely within a directory.
+    Neither contents nor extracted texts are shuffled: what the rules say is one row a MIME type, counted and broadcast,
+    and goes through the extraction with the file.
     """
-    known = match_rules(files.select("mime_type"), rules)
-    todo = files.join(known, "mime_type").where("graph is not null")
-    done = extract(todo.repartition("url"), max_text)
-    hashes = todo.select("url", "hash", "graph")
-    return complete(done.join(hashes, "url")), hashes.select("url", "hash")
+    known = materialize(match_rules(files.select("mime_type"), rules).where("graph is not null"))
+    if known.count() <= MOST_KINDS:
+        known = F.broadcast(known)
+    todo = files.join(known, "mime_type")
+    return complete(extract(todo, max_text, keep=("graph",), at_once=at_once)), files.select("url", "mime_type").join(known, "mime_type").select("url", "hash")
 
 
 def complete(extracted: DataFrame) -> DataFrame:

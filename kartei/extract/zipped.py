@@ -10,7 +10,7 @@ import zipfile
 from kartei.extract.base import Info, Resource, Unreadable, limit_text
 from kartei.extract.documents import html
 
-#: A member that unpacks to more is not read.
+#: A member that unpacks to more makes its file unreadable: an error row, not a shorter text.
 MEMBER_LIMIT = 64 << 20
 
 
@@ -22,10 +22,11 @@ def _open(content: bytes) -> zipfile.ZipFile:
 
 
 def _read(z: zipfile.ZipFile, name: str) -> bytes | None:
-    try:
-        return z.read(name) if z.getinfo(name).file_size <= MEMBER_LIMIT else None
-    except KeyError:
+    if name not in z.NameToInfo:
         return None
+    if z.getinfo(name).file_size > MEMBER_LIMIT:
+        raise Unreadable(f"{name}: more than {MEMBER_LIMIT} bytes")
+    return z.read(name)
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ET.Element | None:

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names of the closed sets.
-ORIENTATION = dict(enumerate("top top-mirror bottom-mirror bottom left-mirror right right-mirror left".split(), 1))
+ORIENTATION = dict(enumerate("top top-mirror bottom bottom-mirror left-mirror right right-mirror left".split(), 1))
 METERING = {1: "average", 2: "center-weighted-average", 3: "spot", 4: "multispot", 5: "pattern", 6: "partial"}
 DLNA_JPEG = ((640, 480, "JPEG_SM"), (1024, 768, "JPEG_MED"), (4096, 4096, "JPEG_LRG"))
-REGION = (("face", "nfo:region-content-face"), ("pet", "nfo:region-content-pet"), ("focus", "nfo:region-content-focus"), ("barcode", "nfo:region-content-barcode"))
+REGION = (("face", "nfo:roi-content-face"), ("pet", "nfo:roi-content-pet"), ("focus", "nfo:roi-content-focus"), ("barcode", "nfo:roi-content-barcode"))
 
 
 def _named(prefix: str, names: dict[int, str], code: Column) -> Column:
@@ -39,11 +39,11 @@ def iptc_orientation(code: Column) -> Column:
 
 
 def region_type(name: Column) -> Column:
-    """The kind of an image region by the beginning of its name, in any letter case."""
+    """The kind of an image region by the beginning of its name, in any letter case; no name has a kind of its own."""
     out = F.lit("nfo:roi-content-undefined")
     for word, kind in reversed(REGION):
         out = F.when(F.startswith(F.lower(name), F.lit(word)), kind).otherwise(out)
-    return F.when(name.isNotNull(), out)
+    return F.when(name.isNull(), "nfo:region-content-undefined").otherwise(out)
 
 
 def ratio(text: Column) -> Column:

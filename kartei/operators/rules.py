@@ -31,6 +31,7 @@ SHIPPED = """
 10-pdf|application/pdf|nfo:PaginatedTextDocument|Documents|pdf
 10-png|image/png;sketch/png|nfo:Image;nmm:Photo|Pictures|png
 10-ps|application/x-gzpostscript;application/postscript|nfo:PaginatedTextDocument|Documents|ps
+10-raw|image/x-dcraw;image/x-adobe-dng;image/x-canon-cr2;image/x-canon-crw;image/x-epson-erf;image/x-fuji-raf;image/x-minolta-mrw;image/x-nikon-nef;image/x-olympus-orf;image/x-panasonic-rw;image/x-pentax-pef;image/x-raw;image/x-samsung-raw;image/x-sigma-x3f;image/x-sony-arw;image/x-sony-srf;image/x-sony-sr2|nfo:Image;nmm:Photo|Pictures|raw
 10-svg|image/svg+xml;image/svg+xml-compressed|nfo:Image;nfo:VectorImage|Pictures|
 10-tiff|image/tiff|nfo:Image;nmm:Photo|Pictures|tiff
 10-webp|image/webp|nfo:Image;nmm:Photo|Pictures|webp
@@ -38,6 +39,7 @@ SHIPPED = """
 11-iso|application/x-cd-image;application/vnd.efi.iso|nfo:FilesystemImage|Software|iso
 11-msoffice-xml|application/vnd.openxmlformats-officedocument.presentationml.presentation;application/vnd.openxmlformats-officedocument.presentationml.slideshow;application/vnd.openxmlformats-officedocument.spreadsheetml.sheet;application/vnd.openxmlformats-officedocument.wordprocessingml.document|nfo:PaginatedTextDocument|Documents|msoffice-xml
 15-executable|application/x-ms-dos-executable|nfo:Executable;nfo:SoftwareApplication|Software|
+15-games|application/vnd.nintendo.snes.rom;application/x-amiga-disk-format;application/x-atari-2600-rom;application/x-atari-7800-rom;application/x-atari-lynx-rom;application/x-dc-rom;application/x-doom-wad;application/x-fds-disk;application/x-gameboy-color-rom;application/x-gameboy-rom;application/x-gamecube-rom;application/x-gamegear-rom;application/x-gba-rom;application/x-genesis-32x-rom;application/x-genesis-rom;application/x-n64-rom;application/x-neo-geo-pocket-color-rom;application/x-neo-geo-pocket-rom;application/x-nes-rom;application/x-nintendo-ds-rom;application/x-pc-engine-rom;application/x-saturn-rom;application/x-sega-cd-rom;application/x-sega-pico-rom;application/x-sg1000-rom;application/x-sms-rom;application/x-virtual-boy-rom;application/x-wii-rom;application/x-wii-wad;application/x-wonderswan-color-rom;application/x-wonderswan-rom;application/x-msx-rom;application/x-nintendo-3ds-rom;application/x-nintendo-3ds-executable;application/x-discjuggler-cd-image;application/x-gd-rom-cue;application/x-pc-engine-cd-rom;application/x-playstation-rom|nfo:GameImage|Software|
 15-libav-guess|video/3gpp;video/mp4;video/x-ms-asf;application/vnd.ms-asf;application/vnd.rn-realmedia|nfo:Media;nfo:Video|Video|libav
 15-playlist|audio/x-mpegurl;audio/mpegurl;audio/x-scpls;audio/x-pn-realaudio;application/ram;application/vnd.ms-wpl|nmm:Playlist;nfo:MediaList|Audio|playlist
 15-text|text/plain;text/markdown|nfo:Document;nfo:PlainTextDocument|Documents|text
@@ -47,12 +49,17 @@ SHIPPED = """
 """
 
 
-def shipped_rules(spark: SparkSession) -> DataFrame:
-    """The shipped rules; the hash of a rule is made of its content."""
+def shipped_rules(spark: SparkSession, sound: str = "libav") -> DataFrame:
+    """The shipped rules; the hash of a rule is made of its content.
+
+    sound: which of two alternative modules reads sound and video, "libav" or "mediainfo"; their rules differ in no more.
+    """
     import hashlib
 
+    if sound not in ("libav", "mediainfo"):
+        raise ValueError(f"no module {sound}")
     rows = []
-    for n, line in enumerate(SHIPPED.split()):
+    for n, line in enumerate(SHIPPED.replace("libav-", f"{'lib' if sound == 'mediainfo' else ''}{sound}-").replace("|libav", f"|{sound}").split()):
         name, allow, types, graph, module = line.split("|")
         rows.append((n, name, allow.split(";"), [], types.split(";"), f"tracker:{graph}" if graph else None, hashlib.md5(line.encode()).hexdigest()[:12] if graph else None, module or None))
     return spark.createDataFrame(rows, SCHEMA)

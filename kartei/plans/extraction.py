@@ -93,7 +93,7 @@ def x31(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, extraction and completion in one pass."""
     from kartei.operators.rules import shipped_rules
 
-    files = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.lit("text/plain").alias("mime_type"), F.encode("text", "UTF-8").alias("content"))
+    files = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.when(F.col("doc_id").isNotNull(), "text/plain").alias("mime_type"), F.encode("text", "UTF-8").alias("content"))
     ies, _ = pipeline.run(files, shipped_rules(spark))
     return ies.select(F.col("stored_as")[0].alias("url"), "graph", F.array_join("rdf_types", ",").alias("types"), F.length("plain_text").alias("n"))
 

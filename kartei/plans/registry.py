@@ -36,7 +36,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-MODULES = ("listing", "stats", "search", "sync", "scalars", "extraction", "events")
+MODULES = ("listing", "stats", "search", "sync", "scalars", "extraction", "containers", "events")
 
 
 def _load() -> None:

@@ -123,7 +123,7 @@ def sc19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sc20_enums", """
-select p_partkey, case p_size % 9 when 2 then 'nfo:orientation-top-mirror' when 3 then 'nfo:orientation-bottom-mirror' when 4 then 'nfo:orientation-bottom' when 5 then 'nfo:orientation-left-mirror' when 6 then 'nfo:orientation-right' when 7 then 'nfo:orientation-right-mirror' when 8 then 'nfo:orientation-left' else 'nfo:orientation-top' end as orientation,
+select p_partkey, case p_size % 9 when 2 then 'nfo:orientation-top-mirror' when 3 then 'nfo:orientation-bottom' when 4 then 'nfo:orientation-bottom-mirror' when 5 then 'nfo:orientation-left-mirror' when 6 then 'nfo:orientation-right' when 7 then 'nfo:orientation-right-mirror' when 8 then 'nfo:orientation-left' else 'nfo:orientation-top' end as orientation,
 case when p_size % 2 = 1 then 'nmm:flash-on' else 'nmm:flash-off' end as flash,
 case p_size % 8 when 1 then 'nmm:metering-mode-average' when 2 then 'nmm:metering-mode-center-weighted-average' when 3 then 'nmm:metering-mode-spot' when 4 then 'nmm:metering-mode-multispot' when 5 then 'nmm:metering-mode-pattern' when 6 then 'nmm:metering-mode-partial' else 'nmm:metering-mode-other' end as metering,
 case when p_size % 2 = 1 then 'nmm:white-balance-manual' else 'nmm:white-balance-auto' end as white_balance from part""")
@@ -200,7 +200,7 @@ def sc07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sc23_sc24_regions", """
-select c_custkey, case c_nationkey % 6 when 0 then 'nfo:region-content-face' when 1 then 'nfo:region-content-pet' when 2 then 'nfo:region-content-focus' when 3 then 'nfo:region-content-barcode' when 4 then 'nfo:roi-content-undefined' end as region,
+select c_custkey, case c_nationkey % 6 when 0 then 'nfo:roi-content-face' when 1 then 'nfo:roi-content-pet' when 2 then 'nfo:roi-content-focus' when 3 then 'nfo:roi-content-barcode' when 4 then 'nfo:roi-content-undefined' else 'nfo:region-content-undefined' end as region,
 case when c_nationkey % 2 = 0 then 'nfo:orientation-left' else 'nfo:orientation-top' end as iptc from customer""")
 def sc24(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("Face", "PETS", "focus point", "BarCode", "other", None)])

@@ -138,23 +138,26 @@ def sql_matches(terms: list[str], text: str) -> str:
     return f"list_has_all({sql_tokens(text)}, {query_words(terms)!r})"
 
 
+def sql_snippet(text: str, terms: list[str]) -> str:
+    flat, word = f"translate({text}, chr(13) || chr(10), '  ')", query_words(terms)[0]
+    at = f"instr(strip_accents(lower({flat})), '{word}')"
+    return f"case when {at} > 0 then substr({flat}, greatest({at} - 30, 1), {at} - greatest({at} - 30, 1)) || '«' || substr({flat}, {at}, {len(word)}) || '»' || substr({flat}, {at} + {len(word)}, 60) else left({flat}, 90) end"
+
+
 _TEXT = "concat_ws(chr(10), title, ie_comment, plain_text)"
 TERMS = ["Résumé", "references"]
 
 
 def _register_content() -> None:
-    from kartei.catalog import sub_classes
-
     terms = {"documents": TERMS, "images": ["gruße"], "music": ["letters"], "videos": ["the"], "software": ["the"]}
     for letter, kind in zip("abcde", listing.CONTENT, strict=True):
-        graph, cls = listing.CONTENT[kind]
-        classes = ", ".join(f"'{x}'" for x in sub_classes(cls))
+        graph, typed = listing.sql_content(kind)
 
         def run(spark: SparkSession, sf_dir: str, kind: str = kind) -> DataFrame:
-            return search_content(Catalog.load(spark, sf_dir), kind, terms[kind])
+            return search_content(listing.loaded(spark, sf_dir, kind), kind, terms[kind], detailed=True)
 
         query(f"r12{letter}_search_{kind}", f"""
-select distinct urn, url, '' as snippet from (select urn, unnest(stored_as) as url from ies where graph = '{graph}' and list_has_any(rdf_types, [{classes}]) and {sql_matches(terms[kind], _TEXT)})
+select distinct urn, url, snippet from (select urn, unnest(stored_as) as url, {sql_snippet("concat_ws(' ', title, ie_comment, plain_text)", terms[kind])} as snippet from ies where graph = '{graph}' and {typed} and {sql_matches(terms[kind], _TEXT)})
 where url in (select url from files where graph = '{graph}' and data_source in {_AVAILABLE})""")(run)
 
 
@@ -163,15 +166,15 @@ _register_content()
 
 @query("r11_search_all", f"""
 with f as (select distinct url, data_source, file_name from files where graph = '{FILE_SYSTEM}'),
-x as (select null as elem, url from f where {sql_matches(["letters"], "file_name")} union select urn, unnest(stored_as) from ies where {sql_matches(["letters"], _TEXT)})
-select distinct elem, url, '' as snippet from x where url in (select url from f where data_source in {_AVAILABLE})""")
+x as (select null as elem, url, {sql_snippet("file_name", ["letters"])} as snippet from f where {sql_matches(["letters"], "file_name")} union select urn, unnest(stored_as), {sql_snippet("concat_ws(' ', title, ie_comment, plain_text)", ["letters"])} from ies where {sql_matches(["letters"], _TEXT)})
+select distinct elem, url, snippet from x where url in (select url from f where data_source in {_AVAILABLE})""")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_all(Catalog.load(spark, sf_dir), ["letters"])
+    return search_all(Catalog.load(spark, sf_dir), ["letters"], detailed=True)
 
 
-@query("r13_search_files", f"select distinct url, '' as snippet from files where graph = '{FILE_SYSTEM}' and data_source in {_AVAILABLE} and {sql_matches(['mp3'], 'file_name')}")
+@query("r13_search_files", f"select distinct url, {sql_snippet("file_name", ["mp3"])} as snippet from files where graph = '{FILE_SYSTEM}' and data_source in {_AVAILABLE} and {sql_matches(['mp3'], 'file_name')}")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_files(Catalog.load(spark, sf_dir), ["mp3"])
+    return search_files(Catalog.load(spark, sf_dir), ["mp3"], detailed=True)
 
 
 @query("r14_search_folders", f"""
@@ -193,12 +196,13 @@ def r15a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r15_search_artists", f"""
-with w as (select regexp_extract(max(artist_name), '^[^ ]*') as w from artists)
+with w as (select regexp_extract(max(artist_name), '^[^ ]*') as w from artists where urn in (select artist from ies where graph = 'tracker:Audio' and len(stored_as) > 0))
 select distinct a.urn, a.artist_name from w, artists a join (select artist, unnest(stored_as) as url from ies where graph = 'tracker:Audio') i on i.artist = a.urn
 where i.url in (select url from files where graph = 'tracker:Audio') and list_contains({sql_tokens("a.artist_name")}, strip_accents(lower(w.w)))""")
 def r15b(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog.load(spark, sf_dir)
-    return search_artists(c, [c.artists.agg(F.max("artist_name")).first()[0].split(" ")[0]], show_all=True)
+    heard = c.in_graph("ies", "tracker:Audio").where(F.size("stored_as") > 0).select(F.col("artist").alias("urn"))
+    return search_artists(c, [c.artists.join(heard, "urn", "left_semi").agg(F.max("artist_name")).first()[0].split(" ")[0]], show_all=True)
 
 
 @query("r28_front_end", f"select distinct url, file_name from files where graph = '{FILE_SYSTEM}'")

@@ -347,20 +347,53 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.data_objects("url", "file_name").join(i, "url").select("url", eligibility.shallow_text(F.col("file_name"), F.col("mime_type")).alias("shallow")).distinct()
 
 
-def _rules_sql() -> str:
-    rows = []
-    for n, line in enumerate(rules.SHIPPED.split()):
-        name, allow, types, graph, module = line.split("|")
-        rows.extend(f"({n}, '{g.replace('*', '%').replace('?', '_')}', {f"'tracker:{graph}'" if graph else 'null'}, {f"'{module}'" if module else 'null'}, '{types.split(';')[0]}')" for g in allow.split(";"))
-    return ", ".join(rows)
+#: What the rules give, stated by hand: the types of the catalogue, and made-up rows for rules that no type of it meets.
+_EXPECTED = """
+application/pdf pdf tracker:Documents nfo:PaginatedTextDocument 1
+audio/mpeg mp3 tracker:Audio nmm:MusicPiece 2
+text/plain text tracker:Documents nfo:Document 1
+image/jpeg jpeg tracker:Pictures nfo:Image 1
+audio/flac libav tracker:Audio nmm:MusicPiece 1
+application/vnd.oasis.opendocument.text oasis tracker:Documents nfo:PaginatedTextDocument 1
+text/html html tracker:Documents nfo:HtmlDocument 1
+audio/x-vorbis+ogg libav tracker:Audio nmm:MusicPiece 1
+application/epub+zip epub tracker:Documents nfo:EBook 1
+video/x-matroska libav tracker:Video nmm:Video 1
+video/mp4 libav tracker:Video nfo:Media 2
+image/png png tracker:Pictures nfo:Image 1
+application/msword msoffice tracker:Documents nfo:Document 1
+audio/mp4 libav tracker:Audio nmm:MusicPiece 1
+image/tiff tiff tracker:Pictures nfo:Image 1
+image/x-sony-sr2 raw tracker:Pictures nfo:Image 1
+image/x-adobe-dng raw tracker:Pictures nfo:Image 1
+application/x-nes-rom - tracker:Software nfo:GameImage 1
+application/x-playstation-rom - tracker:Software nfo:GameImage 1
+application/x-cbz - tracker:Documents nfo:EBook 1
+application/x-cue disc-generic tracker:Software nfo:Software 1
+application/x-scpls - - - 0
+audio/x-scpls playlist tracker:Audio nmm:Playlist 2
+application/vnd.ms-word.document.macroenabled.12 msoffice tracker:Documents nfo:Document 1
+inode/directory - - nfo:Folder 1
+image/svg+xml - tracker:Pictures nfo:Image 1
+application/x-cd-image iso tracker:Software nfo:FilesystemImage 1
+application/octet-stream - - - 0
+"""
+
+
+def _expected_sql() -> str:
+    value = lambda x: "null" if x == "-" else f"'{x}'"
+    rows = [line.split() for line in _EXPECTED.strip().splitlines()]
+    return ", ".join(f"({', '.join(map(value, r[:4]))}, {r[4]})" for r in rows)
 
 
 @query("f14_rules", f"""
-with r(ord, pat, graph, module, first_type) as (values {_rules_sql()}), m as (select distinct mime_type from ies where mime_type is not null),
-x as (select distinct m.mime_type, r.ord, r.graph, r.module, r.first_type from m join r on m.mime_type like replace(r.pat, '_', '\\_') escape '\\')
-select m.mime_type, arg_min(x.module, x.ord) filter (x.module is not null) as module, arg_min(x.graph, x.ord) filter (x.graph is not null) as graph, arg_min(x.first_type, x.ord) as first_type, count(x.ord) as rules from m left join x using (mime_type) group by 1""")
+with e(mime_type, module, graph, first_type, rules) as (values {_expected_sql()})
+select * from e where starts_with(mime_type, 'image/x-') or mime_type in (select mime_type from ies) or mime_type not in ('application/pdf', 'audio/mpeg', 'text/plain', 'image/jpeg', 'audio/flac', 'application/vnd.oasis.opendocument.text', 'text/html', 'audio/x-vorbis+ogg', 'application/epub+zip', 'video/x-matroska', 'video/mp4', 'image/png', 'application/msword', 'audio/mp4', 'image/tiff')
+union all select distinct mime_type, null, null, null, 0 from ies where mime_type is not null and mime_type not in (select mime_type from e)""")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.match_rules(Catalog.load(spark, sf_dir).ies, rules.shipped_rules(spark))
+    """The types of the catalogue and some that its rows lack."""
+    more = spark.createDataFrame([(line.split()[0],) for line in _EXPECTED.strip().splitlines()[15:]], "mime_type string")
+    out = rules.match_rules(Catalog.load(spark, sf_dir).ies.select("mime_type").union(more), rules.shipped_rules(spark))
     return out.select("mime_type", "module", "graph", F.try_element_at("rdf_types", F.lit(1)).alias("first_type"), "rules")
 
 

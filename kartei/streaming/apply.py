@@ -93,9 +93,8 @@ def extract_pending(c: Catalog, contents: DataFrame, rules: DataFrame, at_once:
     Files without a hash are extracted; each gets the hash of its rule whether or not it could be read, so a bad file is
     not tried again until it changes. at_once is the number of files handed to a worker at a time.
     """
-    c.files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(at_once))
     todo = c.in_graph("files", FILE_SYSTEM).where("extractor_hash is null").select("url").distinct()
-    ies, hashes = run(contents.join(todo, "url", "left_semi"), rules)
+    ies, hashes = run(contents.join(todo, "url", "left_semi"), rules, at_once=at_once)
     good = ies.where("error is null")
     known = {f.name: F.lit(None).cast(f.dataType) for f in c.ies.schema.fields}
     new = good.select(*[F.col(n) if n in ("graph", "urn", "mime_type", "rdf_types", "stored_as", "title", "plain_text") else e.alias(n) for n, e in known.items()])

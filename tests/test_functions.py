@@ -120,6 +120,6 @@ def test_media(spark):
     assert one(spark, "1/0", media.ratio) is None
     assert one(spark, "1/4", media.ratio) == 0.25
     assert one(spark, "52,22.5S", media.gps_coordinate) == -52.375
-    assert one(spark, "Pets", media.region_type) == "nfo:region-content-pet"
+    assert one(spark, "Pets", media.region_type) == "nfo:roi-content-pet"
     assert one(spark, "(17)Rock", media.genre_number) == 17
     assert one(spark, 9, media.orientation, "int") == "nfo:orientation-top"
