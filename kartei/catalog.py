@@ -100,7 +100,8 @@ class Catalog:
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Catalog:
         """Read the tables with their declared schemas; no inference."""
-        read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+        # a table laid out by graph has that column last
+        read = lambda name, schema: (df := spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")).select(*sorted(df.columns, key=lambda c: c != "graph"))
         return cls(read("files", FILES), read("ies", IES), read("roots", ROOTS), read("folders", FOLDERS), read("artists", ARTISTS), read("tags", TAGS))
 
     def in_graph(self, table: str, graph: str | None) -> DataFrame:

@@ -3,8 +3,9 @@
 A queue looks at the last queued event of a path only, so the queue of a path is a finite automaton: what a new event
 does depends on the kind of the last one. Events of a path are cut into chunks of neighbouring sequence numbers; each
 chunk is summarised for every state it may start in (end state, first effect on the event before it), summaries are
-chained by a window over chunks, and then every chunk is resolved by itself. So a path with a third of all events is
-spread over many tasks, and the result is the same as for one pass in order.
+chained by windows over chunks that carry nothing else, in running order and without looking ahead, and then every chunk
+is resolved by itself. So a path with a third of all events is spread over many tasks, one task sees a few numbers for
+each CHUNK of its events, and the result is the same as for one pass in order.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kartei.operators.prefix import climb
+from kartei.session import materialize
 
 # kinds of events, and of the last queued event (0: none)
 CREATED, UPDATED, ATTRIBUTES, DELETED, MOVED, BARRIER = 1, 2, 3, 4, 5, 6
@@ -67,20 +69,27 @@ def purge_below_deleted(events: DataFrame) -> DataFrame:
     return events.join(last, "seq", "left_anti")
 
 
-def coalesce_events(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def with_barriers(e: DataFrame) -> DataFrame:
+    """Events with the key whose queue they go to; a move also makes the queue of its destination forget (second = 1)."""
+    own = F.struct(F.col("file_url").alias("key"), F.lit(0).alias("second"), F.col("kind").alias("kind"), F.col("dest_url").alias("dest"))
+    stop = F.struct(F.col("dest_url").alias("key"), F.lit(1).alias("second"), F.lit(BARRIER).alias("kind"), F.lit(None).cast("string").alias("dest"))
+    both = F.when((F.col("kind") == MOVED) & F.col("dest_url").isNotNull(), F.array(own, stop)).otherwise(F.array(own))
+    each = e.select("seq", "op", "is_dir", "attributes_only", F.explode(both).alias("e"))
+    return each.select("e.key", "seq", "e.second", "e.kind", "op", F.col("e.dest").alias("dest_url"), "is_dir", "attributes_only")
+
+
+def coalesce_events(events: DataFrame, chunk: int = CHUNK, purge: bool = True) -> DataFrame:
     """The events left in the queue: (seq, op, file_url, dest_url, is_dir, attributes_only).
 
-    Events with NULL op or url are dropped; repeated rows count once. A created file that is moved becomes a creation of
-    its destination. A move makes the queue forget both paths.
+    Events with NULL op, url or seq are dropped; repeated rows count once. A created file that is moved becomes a creation
+    of its destination. A move makes the queue forget both paths. Deletions of directories drop what was queued below
+    them, unless purge is false.
     """
     cols = ["seq", "op", "file_url", "dest_url", "is_dir", "attributes_only"]
     e = events.where("op is not null and file_url is not null and seq is not null").select(*cols).distinct()
-    e = purge_below_deleted(e).withColumn("kind", kind_of(F.col("op"), F.col("attributes_only"))).where("kind is not null")
-    row = F.struct("seq", F.lit(0).alias("second"), "kind", "op", "dest_url", "is_dir", "attributes_only")
-    own = e.select(F.col("file_url").alias("key"), row.alias("x"))
-    stop = F.struct("seq", F.lit(1).alias("second"), F.lit(BARRIER).alias("kind"), "op", F.lit(None).cast("string").alias("dest_url"), "is_dir", "attributes_only")
-    dest = e.where((F.col("kind") == MOVED) & F.col("dest_url").isNotNull()).select(F.col("dest_url").alias("key"), stop.alias("x"))
-    chunks = own.unionByName(dest).groupBy("key", F.floor(F.col("x.seq") / chunk).alias("part")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    e = (purge_below_deleted(e) if purge else e).withColumn("kind", kind_of(F.col("op"), F.col("attributes_only"))).where("kind is not null")
+    keyed = with_barriers(e).select("key", F.struct("seq", "second", "kind", "op", "dest_url", "is_dir", "attributes_only").alias("x"))
+    chunks = materialize(keyed.groupBy("key", F.floor(F.col("x.seq") / chunk).alias("part")).agg(F.array_sort(F.collect_list("x")).alias("xs")))
     kinds = F.transform("xs", lambda x: x.kind)
 
     def summary(start: int) -> Column:
@@ -92,7 +101,7 @@ def coalesce_events(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
         return F.aggregate(kinds, zero, step)
 
-    sums = chunks.select("key", "part", "xs", F.array(*[summary(s) for s in STATES]).alias("by_start"))
+    sums = chunks.select("key", "part", F.array(*[summary(s) for s in STATES]).alias("by_start"))
     # the state before each chunk. Every kind but an attribute update leads to one state from any start, so a chunk's map
     # is constant unless it holds attribute updates alone; that map applied twice is that map. A run of chunks begins after
     # a constant one; within it the start is the state before the run, or the run's first map of it.
@@ -104,9 +113,10 @@ def coalesce_events(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     r = Window.partitionBy("key", "run").orderBy("part")
     before, mapped = F.first("before").over(r), F.first("ends").over(r)
     begun = sums.withColumn("start", F.when(F.row_number().over(r) == 1, before).otherwise(F.element_at(mapped, (before + 1).cast("int"))))
-    own_first = F.nullif(F.element_at("by_start", (F.col("start") + 1).cast("int")).first, F.lit(-1))
-    after = F.first(own_first, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    solved = begun.withColumn("after", after)
+    begun = begun.withColumn("own", F.nullif(F.element_at("by_start", (F.col("start") + 1).cast("int")).first, F.lit(-1)))
+    # what the chunks behind do first, carried along from the last chunk
+    back = Window.partitionBy("key").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    solved = chunks.join(begun.select("key", "part", "start", F.last("own", ignorenulls=True).over(back).alias("after")), ["key", "part"])
     states = F.aggregate(
         "xs",
         F.struct(F.col("start").alias("state"), F.array().cast("array<int>").alias("effects")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from kartei.catalog import Catalog
@@ -15,14 +17,27 @@ def _fs(spark: SparkSession, folder: str):
     return jvm, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def current(spark: SparkSession, folder: str) -> int:
-    """The number of the newest complete snapshot, 0 if there is none."""
+#: The marker of a complete snapshot, with the number of the batch that it holds last.
+MARK = re.compile(r"done-(\d+)(?:-batch-(\d+))?")
+BY_GRAPH = ("files", "ies")
+
+
+def _marks(spark: SparkSession, folder: str) -> dict[int, tuple[str, int]]:
+    """Snapshot -> (name of its marker, batch or -1)."""
     jvm, fs = _fs(spark, folder)
     root = jvm.org.apache.hadoop.fs.Path(folder)
-    if not fs.exists(root):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return max((int(n[5:]) for n in names if n.startswith("done-") and n[5:].isdigit()), default=0)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return {int(m[1]): (n, int(m[2] or -1)) for n in names if (m := MARK.fullmatch(n))}
+
+
+def current(spark: SparkSession, folder: str) -> int:
+    """The number of the newest complete snapshot, 0 if there is none."""
+    return max(_marks(spark, folder), default=0)
+
+
+def last_batch(spark: SparkSession, folder: str) -> int:
+    """The number of the last batch that a complete snapshot holds, -1 if there is none."""
+    return max((b for _, b in _marks(spark, folder).values()), default=-1)
 
 
 def read(spark: SparkSession, folder: str) -> Catalog | None:
@@ -31,26 +46,29 @@ def read(spark: SparkSession, folder: str) -> Catalog | None:
     return Catalog.load(spark, f"{folder}/snap-{n}") if n else None
 
 
-def write(c: Catalog, folder: str) -> int:
-    """Write all tables as snapshot n + 1; it is read only once its marker exists, so a failed write changes nothing."""
+def write(c: Catalog, folder: str, batch: int | None = None) -> int:
+    """Write all tables as snapshot n + 1; it is read only once its marker exists, so a failed write changes nothing.
+
+    The marker also names the batch whose events the snapshot holds, so a batch and its mark become visible at once.
+    Files and interpretations are laid out by graph: a query of one graph reads its folder alone.
+    """
     spark = c.files.sparkSession
     n = current(spark, folder) + 1
     for name in TABLES:
-        df = getattr(c, name)
-        w = df.write.mode("overwrite")
-        # files and interpretations are laid out by graph; the column is kept in the rows for readers of the single table
-        w.parquet(f"{folder}/snap-{n}/{name}.parquet")
+        w = getattr(c, name).write.mode("overwrite")
+        (w.partitionBy("graph") if name in BY_GRAPH else w).parquet(f"{folder}/snap-{n}/{name}.parquet")
     jvm, fs = _fs(spark, folder)
-    fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/done-{n}"), False).close()
+    name = f"done-{n}" + ("" if batch is None else f"-batch-{batch}")
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), False).close()
     return n
 
 
 def drop_old(spark: SparkSession, folder: str, keep: int = 2) -> None:
     """Remove all but the newest snapshots."""
     jvm, fs = _fs(spark, folder)
-    last = current(spark, folder)
-    for n in range(1, last - keep + 1):
-        for name in (f"done-{n}", f"snap-{n}"):
+    marks = _marks(spark, folder)
+    for n in sorted(marks)[:-keep]:
+        for name in (marks[n][0], f"snap-{n}"):
             p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
             if fs.exists(p):
                 fs.delete(p, True)

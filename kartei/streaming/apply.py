@@ -70,19 +70,16 @@ def apply_events(c: Catalog, events: DataFrame, listing: DataFrame) -> Catalog:
 def apply_and_save(folder: str, listing):
     """A function for streaming.queue.apply_batches that applies each batch and writes a snapshot.
 
-    listing(batch) gives the rows on disk of the batch's urls. A batch that was written already is not applied twice:
-    its number is kept beside the snapshots.
+    listing(batch) gives the rows on disk of the batch's urls. A batch is applied once: the marker that makes its snapshot
+    visible holds its number, and batches up to the last such number are skipped.
     """
 
     def each(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
-        jvm, fs = snapshot._fs(spark, folder)
-        mark = jvm.org.apache.hadoop.fs.Path(f"{folder}/batch-{batch_id}")
-        if fs.exists(mark):
+        if batch_id <= snapshot.last_batch(spark, folder):
             return
         c = snapshot.read(spark, folder)
-        snapshot.write(apply_events(c, events, listing(events)), folder)
-        fs.create(mark, False).close()
+        snapshot.write(apply_events(c, events, listing(events)), folder, batch_id)
 
     return each
 

@@ -5,52 +5,71 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kartei.operators.coalesce import APPEND, DROP, EFFECT, MOVED, REPLACE, coalesce_events, kind_of
+from kartei.catalog import EVENTS
+from kartei.operators.coalesce import APPEND, BARRIER, DROP, EFFECT, MOVED, REPLACE, coalesce_events, kind_of, with_barriers
 
-#: Events of a micro-batch, and commits that hold the stream back.
-TASKS_PER_COMMIT = 800
-STATE = "kind int, seq long, op string, dest_url string, is_dir boolean, attributes_only boolean"
-OUT = "seq long, op string, file_url string, dest_url string, is_dir boolean, attributes_only boolean, queued boolean"
+#: Events of a file of the queue, and files that a micro-batch takes at most.
+TASKS_PER_COMMIT, FILES_PER_BATCH = 800, 2
+STATE = "kind int, seq long, op string, dest_url string, is_dir boolean, attributes_only boolean, shown boolean"
+OUT = "seq long, op string, file_url string, dest_url string, is_dir boolean, attributes_only boolean, status string"
 
 
 def coalesce_stream(events: DataFrame) -> DataFrame:
     """The queue of every path as keyed state: rows as they leave the queue; the last one stays in it.
 
-    A row with queued = true is the last event of its path after the micro-batch; a later batch may replace it. Moves
-    leave at once. Deletions of directories purge other keys and are applied to a micro-batch before this operator.
+    status: "left" for an event that has left its queue for good; "queued" for the last event of its path after the
+    micro-batch, which a later batch makes "left" or takes back ("replaced"). What has left, and what is queued and not
+    taken back, is what coalesce_events leaves of all events. Moves leave at once and make the queue of their destination
+    forget. Deletions of directories purge other keys: that needs the events of a micro-batch together (apply_batches).
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
+        rows = pd.concat(list(batches)).sort_values(["seq", "second"])
         out = []
+
+        def tell(e: tuple, status: str) -> None:
+            out.append((e[1], e[2], key[0], e[3], e[4], e[5], status))
+
         for r in rows.itertuples():
             effect = EFFECT.get((last[0], r.kind), APPEND) if last else APPEND
             if effect == DROP:
                 continue
             if last and effect != REPLACE:
-                out.append((last[1], last[2], key[0], last[3], last[4], last[5], False))
+                tell(last, "left")
+            elif last and last[6]:
+                tell(last, "replaced")
+            dest, is_dir, attributes = (None if pd.isna(x) else x for x in (r.dest_url, r.is_dir, r.attributes_only))
             if r.kind == MOVED:
-                out.append((r.seq, "CREATED", r.dest_url, None, r.is_dir, False, False) if effect == REPLACE else (r.seq, r.op, key[0], r.dest_url, r.is_dir, False, False))
-                last = None
-            else:
-                last = (int(r.kind), int(r.seq), r.op, r.dest_url, bool(r.is_dir), bool(r.attributes_only))
+                out.append((r.seq, "CREATED", dest, None, is_dir, attributes, "left") if effect == REPLACE else (r.seq, r.op, key[0], dest, is_dir, attributes, "left"))
+            last = None if r.kind in (MOVED, BARRIER) else (int(r.kind), int(r.seq), r.op, dest, is_dir, attributes, False)
         if last:
-            state.update(last)
-            out.append((last[1], last[2], key[0], last[3], last[4], last[5], True))
+            if not last[6]:
+                tell(last, "queued")
+            state.update((*last[:6], True))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["seq", "op", "file_url", "dest_url", "is_dir", "attributes_only", "queued"])
+        yield pd.DataFrame(out, columns=["seq", "op", "file_url", "dest_url", "is_dir", "attributes_only", "status"])
+
+    e = events.where("op is not null and file_url is not null and seq is not null").withColumn("kind", kind_of(F.col("op"), F.col("attributes_only"))).where("kind is not null")
+    return with_barriers(e).groupBy("key").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def enqueue(events: DataFrame, folder: str, tasks: int = TASKS_PER_COMMIT) -> None:
+    """Add events to a queue on disk, in files of at most so many."""
+    events.write.mode("append").option("maxRecordsPerFile", tasks).parquet(folder)
+
 
-    e = events.where("op is not null and file_url is not null").select("seq", "op", "file_url", "dest_url", "is_dir", F.coalesce("attributes_only", F.lit(False)).alias("attributes_only"), kind_of(F.col("op"), F.col("attributes_only")).alias("kind"))
-    return e.groupBy("file_url").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def queued(spark: SparkSession, folder: str, schema: str = EVENTS, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The queue as a stream; a micro-batch takes at most so many files, the rest waits on disk."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def apply_batches(events: DataFrame, apply, checkpoint: str, files_per_batch: int | None = None):
+def apply_batches(events: DataFrame, apply, checkpoint: str):
     """Run ``apply(coalesced, batch_id)`` for every micro-batch, one at a time; the checkpoint makes batches repeatable."""
 
     def each(batch: DataFrame, batch_id: int) -> None:

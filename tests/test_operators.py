@@ -83,15 +83,28 @@ def test_every_cell_of_the_matrix(spark, queued, new):
 
 
 def test_stream_and_batch_agree(spark, tmp_path):
-    rows = [r for r in random_events(200, 5) if not r[4] and r[1] != "MOVED"]
+    """All kinds of events, of files and directories, in several micro-batches."""
+    rows = random_events(300, 5) + [(401, "UPDATED", "file:///y", None, False, False), (402, "MOVED", "file:///x", "file:///y", False, False), (403, "UPDATED", "file:///y", None, False, False)]
+    assert {"MOVED", "DELETED"} <= {r[1] for r in rows} and any(r[4] for r in rows)
     src = str(tmp_path / "events")
     for k in range(0, len(rows), 50):
         spark.createDataFrame(rows[k : k + 50], EVENT).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 100).parquet(src)
+    stream = queue.queued(spark, src, EVENT, 1)
     q = queue.coalesce_stream(stream).writeStream.format("memory").queryName("coalesced").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {tuple(r)[:6] for r in spark.sql("select * from coalesced").collect()}
-    assert {r for r in in_order(rows)} <= got
+    told = [tuple(r) for r in spark.sql("select * from coalesced").collect()]
+    left, queued, replaced = ({t[:6] for t in told if t[6] == s} for s in ("left", "queued", "replaced"))
+    want = {tuple(r) for r in coalesce_events(spark.createDataFrame(rows, EVENT), purge=False).collect()}
+    assert left | queued - replaced == want
+    assert {(401, "UPDATED", "file:///y"), (403, "UPDATED", "file:///y")} <= {t[:3] for t in want}
+
+
+def test_a_micro_batch_takes_a_bounded_number_of_files(spark, tmp_path):
+    src = str(tmp_path / "q")
+    queue.enqueue(spark.createDataFrame(random_events(100, 3), EVENT).coalesce(1), src, 20)
+    sizes = []
+    queue.queued(spark, src, EVENT, 2).writeStream.foreachBatch(lambda df, i: sizes.append(df.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sum(sizes) == 100 and len(sizes) >= 3 and max(sizes) <= 40
 
 
 def test_apply_batches(spark, tmp_path):
