@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_TEXT = 1 << 20
@@ -168,6 +168,12 @@ def extract(files: DataFrame, max_text: int = MAX_TEXT, deadline: float = DEADLI
     return files.select("url", "mime_type", "module", "rdf_types", "content", *keep).mapInPandas(run, SCHEMA + kept)
 
 
+def statistics(extracted: DataFrame) -> DataFrame:
+    """(module, files, failed, share): what each module has read and failed on, and its share of all files in percent."""
+    per = extracted.groupBy("module").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return per.withColumn("share", F.round(100.0 * F.col("files") / F.sum("files").over(Window.partitionBy()), 6))  # one row a module
+
+
 def errors(extracted: DataFrame) -> DataFrame:
     """The error reports: keyed by the MD5 of the url."""
     return extracted.where("error is not null").select(F.md5("url").alias("uri_md5"), F.col("url").alias("uri"), F.col("error").alias("message"))

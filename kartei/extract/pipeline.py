@@ -64,10 +64,13 @@ def tracks(audio: DataFrame) -> DataFrame:
     return audio.select("url", "file_name", "seconds", "cue").mapInPandas(run, "url string, track int, title string, artist string, album string, start double, duration int")
 
 
-def as_jsonld(ies: DataFrame) -> DataFrame:
-    """(urn, json): each interpretation as a JSON-LD object, by a built-in."""
-    props = F.struct(F.when(F.col("mime_type").isNotNull(), F.array("mime_type")).alias("nie:mimeType"), F.when(F.col("title").isNotNull(), F.array("title")).alias("nie:title"))
-    return ies.select("urn", F.to_json(F.struct(F.col("urn").alias("@id"), F.col("rdf_types").alias("@type"), props.alias("properties"))).alias("json"))
+def as_jsonld(quads: DataFrame) -> DataFrame:
+    """quads(graph, s, p, o) as (s, json): each subject as a JSON-LD object with all its properties, by a built-in."""
+    each = quads.groupBy("s", "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    all_ = each.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "os"))).alias("ps"))
+    types = F.try_element_at(F.filter("ps", lambda x: x.p == "rdf:type"), F.lit(1)).os
+    props = F.map_from_entries(F.filter("ps", lambda x: x.p != "rdf:type"))
+    return all_.select("s", F.to_json(F.struct(F.col("s").alias("@id"), types.alias("@type"), props.alias("properties"))).alias("json"))
 
 
 def _iri(x):

@@ -22,45 +22,49 @@ def _zone_suffix(local_iso: Column, zone: str) -> Column:
     return F.concat(F.when(seconds < 0, "-").otherwise("+"), F.lpad((F.abs(seconds) / 3600).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad(((F.abs(seconds) % 3600) / 60).cast("int").cast("string"), 2, "0"))
 
 
-_MONTHS = {m: f"{i:02d}" for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1)}
+_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 ISO = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
-def _month(name: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in _MONTHS.items() for x in kv]), name)
-
-
 def date_guess(text: Column, zone: str = "UTC") -> Column:
     """The ISO 8601 text meant by one of seven shapes, told apart by length; NULL if none fits.
 
     YYYY; YYYY-MM-DD; YYYYMMDDhhmmss with or without Z or an offset; "Mon Jun 14 04:20:20 2008"; EXIF "2008:06:14 04:20:20";
     else ISO itself. Times without a zone are local times of ``zone``.
     """
-    t, n = F.trim(text), F.length(F.trim(text))
-    part = lambda p, *g: F.concat(*[F.regexp_extract(t, p, x) if isinstance(x, int) else F.lit(x) for x in g])
-    local = lambda iso: F.when(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull(), F.concat(iso, _zone_suffix(iso, zone)))
-    fixed = lambda iso, end: F.when(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull(), F.concat(iso, end))
-    compact = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(Z|[+-]\d{2}:\d{2}Z?)?$"
-    compact_iso = part(compact, 1, "-", 2, "-", 3, "T", 4, ":", 5, ":", 6)
-    named = r"^\w{3} (\w{3}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})$"
-    named_iso = F.concat(F.regexp_extract(t, named, 4), F.lit("-"), _month(F.regexp_extract(t, named, 1)), F.lit("-"), F.lpad(F.regexp_extract(t, named, 2), 2, "0"), F.lit("T"), F.regexp_extract(t, named, 3))
-    exif = r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})$"
-    fraction = F.regexp_extract(t, ISO, 3)
-    iso_base = part(ISO, 1, "T", 2)
-    end = F.concat(F.when(fraction != "", F.rpad(F.left(fraction, F.lit(7)), 7, "0")).otherwise(""), F.when(F.regexp_extract(t, ISO, 4) == "", _zone_suffix(iso_base, zone)).otherwise(F.regexp_extract(t, ISO, 4)))
+    return _let(F.trim(text), lambda t: F.when(F.length(t) < 4, F.lit(None)).when(t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01-01T00:00:00Z"))).otherwise(_let(_as_iso(t), lambda iso: _checked(iso, zone))))
+
+
+COMPACT = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(Z|[+-]\d{2}:\d{2})?Z?$"
+NAMED = r"^\w{3} (\w{3}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})$"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, wherever the body uses it: keeps generated code short."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _as_iso(t: Column) -> Column:
+    """The shapes of fixed length as ISO; anything else as it is."""
+    n = F.length(t)
+    month = F.lpad(((F.instr(F.lit("".join(_MONTHS)), F.regexp_extract(t, NAMED, 1)) + 2) / 3).cast("int").cast("string"), 2, "0")
+    named = F.concat(F.regexp_extract(t, NAMED, 4), F.lit("-"), month, F.lit("-"), F.lpad(F.regexp_extract(t, NAMED, 2), 2, "0"), F.lit("T"), F.regexp_extract(t, NAMED, 3))
     return (
-        F.when(n < 4, F.lit(None))
-        .when((n == 4) & t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01-01T00:00:00Z")))
-        .when((n == 10) & t.rlike(r"^\d{4}-\d{2}-\d{2}$"), local(F.concat(t, F.lit("T00:00:00"))))
-        .when((n == 14) & t.rlike(compact), local(compact_iso))
-        .when((n == 15) & t.rlike(compact), fixed(compact_iso, F.lit("Z")))
-        .when((n > 15) & t.rlike(compact), fixed(compact_iso, F.regexp_replace(F.regexp_extract(t, compact, 7), "Z$", "")))
-        .when(t.rlike(named), local(named_iso))
-        .when((n == 19) & t.rlike(exif), local(part(exif, 1, "-", 2, "-", 3, "T", 4)))
-        .when(t.rlike(ISO), fixed(iso_base, end))
+        F.when(n == 10, F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"))
+        .when(F.substring(t, 1, 14).rlike(r"^\d{14}$"), F.regexp_replace(t, COMPACT, "$1-$2-$3T$4:$5:$6$7"))
+        .when(F.substring(t, 4, 1) == " ", F.when(t.rlike(NAMED) & F.regexp_extract(t, NAMED, 1).isin(*_MONTHS), named))
+        .when(n == 19, F.regexp_replace(t, r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})$", "$1-$2-$3T$4"))
+        .otherwise(t)
     )
 
 
+def _checked(iso: Column, zone: str) -> Column:
+    """ISO text with its fraction at six digits and, where it has none, the offset of the zone; NULL if it is no time."""
+    base, fraction, end = F.left(iso, F.lit(19)), F.regexp_extract(iso, ISO, 3), F.regexp_extract(iso, ISO, 4)
+    good = iso.rlike(ISO) & F.try_to_timestamp(base, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
+    return F.when(good, F.concat(base, F.when(fraction != "", F.rpad(F.left(fraction, F.lit(7)), 7, "0")).otherwise(""), F.when(end == "", _zone_suffix(base, zone)).otherwise(end)))
+
+
 def parse_with(text: Column, pattern: str, zone: str = "UTC") -> Column:
     """Text in one pattern as ISO 8601 local to a zone; NULL where it doesn't fit."""
     at = F.date_format(F.try_to_timestamp(text, F.lit(pattern)), "yyyy-MM-dd'T'HH:mm:ss")

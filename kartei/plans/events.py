@@ -57,6 +57,24 @@ def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.files.select("graph", "url", "extractor_hash").distinct()
 
 
+@query("str11_garbage", """
+with g as (select distinct file_url as a from change_events where op = 'DELETED' union select min(url) from folders),
+u as (select distinct u from (select unnest(stored_as) as u from ies) where exists (select 1 from g where u = g.a or starts_with(u, g.a || '/'))),
+k as (select * from ies where not list_has_any(stored_as, (select list(u) from u))),
+d as (select distinct album_disc as disc, album from ies where album_disc is not null and album_disc in (select album_disc from k)),
+r as (select artist as urn from k union select composer from k union select lyricist from k union select unnest(performers) from k)
+select 'disc' as kind, disc as id from d union select 'album', album from ies where album is not null and (album in (select album from d) or album in (select album from k))
+union select 'artist', urn from artists where urn in (select urn from r where urn is not null)""")
+def str11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of discs, albums and artists after a batch of deletions."""
+    c = Catalog.load(spark, sf_dir)
+    gone = _events(spark, sf_dir).where("op = 'DELETED'").select(F.col("file_url").alias("url")).union(c.folders.agg(F.min("url")))
+    discs = c.ies.select(F.col("album_disc").alias("disc"), "album").where("disc is not null").distinct()
+    after, discs, albums = apply.collect_garbage(apply.delete_urls(c, gone), discs, c.ies.select("album").where("album is not null").distinct())
+    named = lambda df, kind, col: df.select(F.lit(kind).alias("kind"), F.col(col).alias("id"))
+    return named(discs, "disc", "disc").union(named(albums, "album", "album")).union(named(after.artists, "artist", "urn")).distinct()
+
+
 @query("a06_progress", f"""
 with f as (select distinct url, data_source, extractor_hash, file_size from files where graph = '{FILE_SYSTEM}'), g as (select data_source, count(extractor_hash) as done, count(*) - count(extractor_hash) as remaining from f group by 1)
 select data_source, done, remaining, round(done / (done + remaining)::double, 6) as progress, case when done > 0 and remaining > 0 then floor(60 / done::double * remaining)::bigint else 0 end as seconds_left from g""")

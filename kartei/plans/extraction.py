@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kartei.catalog import FILE_SYSTEM, Catalog
 from kartei.extract import pipeline
-from kartei.extract.base import extract
+from kartei.extract.base import extract, statistics
 from kartei.functions import binary
 from kartei.plans import stats
 from kartei.plans.registry import query
@@ -106,6 +106,17 @@ def str13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", F.col("error").isNotNull().alias("failed"), F.md5("url").alias("uri_md5"))
 
 
+@query("a05_modules", """
+with m as (select case doc_id % 4 when 0 then 'ps' when 1 then 'html' else 'text' end as module, doc_id % 8 = 0 as failed from documents)
+select module, count(*) as files, count(*) filter (failed) as failed, round(100.0 * count(*) / (select count(*) from m), 6) as share from m group by 1""")
+def a05_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each module read and failed on: every other PostScript file is broken."""
+    k = F.col("doc_id") % 4
+    content = F.when(F.col("doc_id") % 8 == 0, "broken").when(k == 0, "%!PS-Adobe-3.0\n%%Pages: 1\n").otherwise(F.col("text"))
+    files = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.lit("x/y").alias("mime_type"), F.when(k == 0, "ps").when(k == 1, "html").otherwise("text").alias("module"), F.array().cast("array<string>").alias("rdf_types"), F.encode(content, "UTF-8").alias("content"))
+    return statistics(extract(files))
+
+
 @query("sc05_valid_prefix", "select doc_id, text as prefix from documents")
 def sc05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid part of texts with a broken end."""
@@ -160,11 +171,12 @@ def q18b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.as_turtle(stats.quads(Catalog.load(spark, sf_dir)), named_graphs=True)
 
 
-@query("q18_jsonld", """
-select distinct urn, '{"@id":"' || urn || '","@type":["' || array_to_string(rdf_types, '","') || '"],"properties":{' ||
-concat_ws(',', case when mime_type is not null then '"nie:mimeType":[' || to_json(mime_type)::varchar || ']' end, case when title is not null then '"nie:title":[' || to_json(title)::varchar || ']' end) || '}}' as json from ies""")
+@query("q18_jsonld", f"""
+with {_TRIPLES}, v as (select s, p, '[' || string_agg(to_json(o)::varchar, ',' order by o) || ']' as vs from (select distinct s, p, o from q) group by s, p)
+select s, '{{"@id":' || to_json(s)::varchar || coalesce(',"@type":' || max(vs) filter (p = 'rdf:type'), '') || ',"properties":{{' || coalesce(string_agg(to_json(p)::varchar || ':' || vs, ',' order by p) filter (p <> 'rdf:type'), '') || '}}}}' as json from v group by s""")
 def q18c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.as_jsonld(_read(spark, sf_dir, "ies").select("urn", "rdf_types", "mime_type", "title")).distinct()
+    """Every resource of every graph with all its properties."""
+    return pipeline.as_jsonld(stats.quads(Catalog.load(spark, sf_dir)))
 
 
 @query("q21_playlist_text", """

@@ -18,13 +18,10 @@ _BLANK = "regexp_matches({0}, '^\\s*$')"
 
 
 @query("sc02_coalesce_strip", r"""
-select distinct urn, coalesce(nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(ie_comment, '^\s+|\s+$', '', 'g'), ''), mime_type) as shown from (select urn, mime_type,
-case when title is null or regexp_matches(title, '[^\x00-\x7f]') then 'x' else title end as title, case when regexp_matches(ie_comment, '[^\x00-\x7f]') then null else ie_comment end as ie_comment from ies)""")
+select distinct urn, coalesce(nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(ie_comment, '^\s+|\s+$', '', 'g'), ''), mime_type) as shown from ies""")
 def sc02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = lambda c: ~F.col(c).rlike(r"[^\x00-\x7f]")
-    i = _read(spark, sf_dir, "ies")
-    title = F.when(F.col("title").isNull() | ~ascii_only("title"), "x").otherwise(F.col("title"))
-    return i.select("urn", text.coalesce_strip(title, F.when(ascii_only("ie_comment"), F.col("ie_comment")), F.col("mime_type")).alias("shown")).distinct()
+    """The first of title, comment and type that isn't blank."""
+    return _read(spark, sf_dir, "ies").select("urn", text.coalesce_strip(F.col("title"), F.col("ie_comment"), F.col("mime_type")).alias("shown")).distinct()
 
 
 @query("sc03_merge", "select distinct urn, case when coalesce(genre, artist, album) is not null then concat_ws('*', genre, artist, album) end as merged from ies")

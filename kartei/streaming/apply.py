@@ -67,6 +67,16 @@ def apply_events(c: Catalog, events: DataFrame, listing: DataFrame) -> Catalog:
     return mutations.orphan_artists(mutations.upsert_files(c, times, attributes_only=True))
 
 
+def collect_garbage(c: Catalog, discs: DataFrame, albums: DataFrame) -> tuple[Catalog, DataFrame, DataFrame]:
+    """discs(disc, album), albums(album) and the artists that still have a song, once for a batch: discs, albums, artists.
+
+    Songs name their disc, album and artists in the rows of ies, so a catalogue has no rows of the first two to drop; who
+    keeps tables of them passes them here.
+    """
+    discs = mutations.orphan_discs(c, discs)
+    return mutations.orphan_artists(c), discs, mutations.orphan_albums(c, albums, discs)
+
+
 def apply_and_save(folder: str, listing):
     """A function for streaming.queue.apply_batches that applies each batch and writes a snapshot.
 
