@@ -240,16 +240,26 @@ def undo_plain(text: str) -> str:
     return text
 
 
-def training_texts(df: DataFrame, columns: list[str], key: str, rows: int) -> list[str]:
-    """Texts beyond ASCII of a bounded sample of rows, chosen by the hash of their key."""
+#: Characters of a segment that training looks at.
+LONGEST = 2000
+
+
+def training_texts(df: DataFrame, columns: list[str], key: str, rows: int, segments: int) -> list[str]:
+    """Segments beyond ASCII of a bounded sample of rows, chosen by hash; both numbers and their length are bounded."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"s": [s[:LONGEST] for c in columns for t in b[c] if t for s in segments_of(t)]}, dtype=object)
+
     some = functools.reduce(lambda a, b: a | b, [F.col(c).rlike(r"[^\x00-\x7f]") for c in columns])
-    got = df.where(some).select(F.xxhash64(key).alias("h"), *columns).orderBy("h", *columns).limit(rows).collect()
-    return list(dict.fromkeys(v for r in got for v in r[1:] if v))
+    sample = df.where(some).select(F.xxhash64(key).alias("h"), *columns).orderBy("h", *columns).limit(rows)
+    got = sample.select(*columns).mapInPandas(run, "s string").distinct().orderBy(F.xxhash64("s"), "s").limit(segments).collect()
+    return [r.s for r in got]
 
 
-def find_garbled(df: DataFrame, key: str, columns: dict[str, str], sample_rows: int = 3000) -> DataFrame:
+def find_garbled(df: DataFrame, key: str, columns: dict[str, str], sample_rows: int = 3000, sample_segments: int = 12_000) -> DataFrame:
     """(key, field_name, chain, restored) of every garbled field. columns: column -> name of the field."""
-    texts = training_texts(df, list(columns), key, sample_rows)
+    texts = training_texts(df, list(columns), key, sample_rows, sample_segments)
     model = df.sparkSession.sparkContext.broadcast(train(texts)) if texts else None
 
     def run(batches):

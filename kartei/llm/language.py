@@ -39,6 +39,8 @@ LANGUAGES = list(NAMES)
 CODE_OF = {n: c for c, names in NAMES.items() for n in names.split()}
 #: The least confidence of a full sentence in a second language, and of one of less than four words.
 SURE, SURE_SHORT = 0.45, 0.98
+#: Sentences of the training sample, and characters of a sentence that training looks at.
+SENTENCES, LONGEST = 12_000, 2000
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
 QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 NOISE = re.compile(r"\b\w+:/+\S+|/\S+/\S+|[\d_]+")
@@ -94,7 +96,7 @@ def char_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], np.searchsorted(rows[order], np.arange(len(texts) + 1))
 
 
-def train(labelled: list[tuple[str, str]], most: int = 12_000, seed: int = 3) -> Softmax:
+def train(labelled: list[tuple[str, str]], most: int = SENTENCES, seed: int = 3) -> Softmax:
     """labelled: (text, language)."""
     rng = np.random.default_rng(seed)
     raw = dict.fromkeys((s, LANGUAGES.index(lang)) for text, lang in labelled for s in sentences(text))
@@ -142,11 +144,18 @@ def languages(found: list[tuple[str, str, float, int, bool]]) -> dict[str, float
     return {lang: float(np.mean(share[lang])) for lang in weight if lang == main or any(s[1] == lang and s[4] for s in found)}
 
 
-def training_rows(df: DataFrame, key: str, text: str, label: str, rows: int) -> list[tuple[str, str]]:
-    """(text, language) of a bounded sample of labelled rows, chosen by the hash of their key."""
+def training_rows(df: DataFrame, key: str, text: str, label: str, rows: int, most: int) -> list[tuple[str, str]]:
+    """(sentence, language) of a bounded sample of labelled rows, chosen by hash; both numbers and their length are bounded."""
+
+    def run(batches):
+        for b in batches:
+            out = [(s[:LONGEST], c) for t, c in zip(b["t"], b["c"], strict=True) for s in sentences(t)]
+            yield pd.DataFrame(out, columns=["s", "c"])
+
     code = label_code(F.col(label))
-    got = df.where(code.isNotNull() & F.col(text).rlike(r"\pL")).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), code.alias("c")).distinct().orderBy("h", "t", "c").limit(rows).collect()
-    return [(r.t, r.c) for r in got]
+    sample = df.where(code.isNotNull() & F.col(text).rlike(r"\pL")).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), code.alias("c")).distinct().orderBy("h", "t", "c").limit(rows)
+    got = sample.select("t", "c").mapInPandas(run, "s string, c string").distinct().orderBy(F.xxhash64("s", "c"), "s", "c").limit(most).collect()
+    return [(r.s, r.c) for r in got]
 
 
 def segments(df: DataFrame, key: str, text: str, label: str, sample_rows: int = 4000) -> DataFrame:
@@ -172,7 +181,7 @@ def segments(df: DataFrame, key: str, text: str, label: str, sample_rows: int =
 
 
 def _model(df: DataFrame, key: str, text: str, label: str, sample_rows: int) -> Softmax:
-    rows = training_rows(df, key, text, label, sample_rows)
+    rows = training_rows(df, key, text, label, sample_rows, 3 * SENTENCES)
     if not rows:
         return Softmax(np.zeros((DIM, len(LANGUAGES)), np.float32), np.ones(DIM, np.float32), 1.0)
     return train(rows)

@@ -206,7 +206,7 @@ def with_form(df: DataFrame, column: str, into: str = "form") -> DataFrame:
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def lookalike_pairs(df: DataFrame, key: str, column: str, rows_a_salt: int = 50_000) -> DataFrame:
+def lookalike_pairs(df: DataFrame, key: str, column: str, rows_a_salt: int = 50_000, kinds_a_way: int = 1000) -> DataFrame:
     """Pairs of keys whose texts have one form but are different strings: (key_a, key_b, form), key_a < key_b.
 
     Pairs are made between the different strings of a form and only then given to their rows, so work follows the
@@ -215,13 +215,16 @@ def lookalike_pairs(df: DataFrame, key: str, column: str, rows_a_salt: int = 50_
     """
     rows = materialize(with_form(df.select(F.col(key).alias("k"), F.col(column).alias("v")).where(F.col("v").isNotNull()), "v"))
     held = rows.groupBy("form", "v").agg(F.count(F.lit(1)).alias("n"))
-    many = held.groupBy("form").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("form")
-    held = held.join(many, "form", "left_semi").withColumn("salts", F.ceil(F.col("n") / rows_a_salt).cast("int"))
+    many = held.groupBy("form").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    held = held.join(many, "form").withColumn("salts", F.ceil(F.col("n") / rows_a_salt).cast("int")).withColumn("ways", F.ceil(F.col("kinds") / kinds_a_way).cast("int")).drop("kinds")
     held = materialize(held)
     rows = spread_join(rows, held.select("form", "v", "salts"), ["form", "v"], "k").distinct()
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int")).select("form", "v", "salt", "k")
-    a, b = held.select("form", F.col("v").alias("va"), F.col("salts").alias("sa")), held.select("form", F.col("v").alias("vb"), F.col("salts").alias("sb"))
-    kinds = a.join(b, "form").where("va < vb")
+    a, b = held.select("form", F.col("v").alias("va"), F.col("salts").alias("sa"), F.col("ways").alias("wa")), held.select("form", F.col("v").alias("vb"), F.col("salts").alias("sb"), F.col("ways").alias("wb"))
+    # a form of many strings is spread: each string goes one way and meets the others, which go all ways
+    a = a.withColumn("way", F.pmod(F.xxhash64("va"), F.col("wa")).cast("int")).drop("wa")
+    b = b.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("wb") - 1))).drop("wb")
+    kinds = a.join(b, ["form", "way"]).where("va < vb").drop("way")
     left = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("sa") - 1))).join(rows.select("form", F.col("v").alias("va"), "salt", F.col("k").alias("ka")), ["form", "va", "salt"])
     both = (
         left.drop("salt")

@@ -18,6 +18,7 @@ import importlib.util
 from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +29,35 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_BROADCAST_SOURCES = 100_000
 
 
-@functools.cache
-def encoding(folder: str = TOKENIZERS, name: str = VOCABULARY):
-    """The tokenizer of a rank file in that folder; the folder's module gives the split pattern."""
-    import tiktoken
-
+def split_pattern(folder: str = TOKENIZERS) -> str:
+    """The pattern by which the folder's byte-level tokenizers split texts, on the driver."""
     spec = importlib.util.spec_from_file_location("_public_tokenizers", Path(folder, "__init__.py"))
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    lines = Path(folder, name).read_bytes().splitlines()
+    return module.PATTERN
+
+
+@functools.cache
+def encoding(path: str = f"{TOKENIZERS}/{VOCABULARY}", pattern: str | None = None):
+    """The tokenizer of a rank file."""
+    import tiktoken
+
+    lines = Path(path).read_bytes().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
-    return tiktoken.Encoding(name, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(Path(path).name, pat_str=pattern or split_pattern(str(Path(path).parent)), mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(df: DataFrame, text: str, into: str = "n_tokens", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
-    """df with the number of tokens of a text column; 0 for NULL."""
+    """df with the number of tokens of a text column; 0 for NULL.
+
+    The folder need only exist on the driver, which serves the file to the executors.
+    """
+    df.sparkSession.sparkContext.addFile(str(Path(folder, name)))
+    pattern = split_pattern(folder)
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        enc = encoding(folder, name)
+        enc = encoding(SparkFiles.get(name), pattern)
         return s.map(lambda t: len(enc.encode_ordinary(t)) if t else 0).astype("int64")
 
     return df.withColumn(into, count(F.col(text)))

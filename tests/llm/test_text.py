@@ -87,7 +87,7 @@ def test_pairs_match_brute_force(spark):
     forms = dict(zip([k for k, _ in rows], form(*[v for _, v in rows]), strict=True))
     want = {(a, b) for a, x in rows for b, y in rows if a < b and x is not None and y is not None and x != y and forms[a] == forms[b]}
     df = spark.createDataFrame(rows + rows[:5], "urn string, title string")
-    got = [tuple(r) for r in lookalike.lookalike_pairs(df, "urn", "title", rows_a_salt=7).select("urn_a", "urn_b").collect()]
+    got = [tuple(r) for r in lookalike.lookalike_pairs(df, "urn", "title", rows_a_salt=7, kinds_a_way=2).select("urn_a", "urn_b").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert lookalike.lookalike_pairs(df.limit(0), "urn", "title").count() == 0
 
