@@ -5,6 +5,8 @@ multinomial classifier, trained on clean segments garbled synthetically along ev
 wrong decodings, or that the segment is clean. The chain is inverted; the inversion must decode strictly, must change the
 text, and the restored segment must itself be classified as clean.
 
+Single-byte chains always decode: what they restore must be words of clean segments of the whole table.
+
 Defined results: NULL, empty and ASCII fields are never cases; a field with U+FFFD is a case that can't be restored; a
 partly garbled field is a case whose garbled segments alone are restored; repeated rows count once.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from kartei.llm.arrowtext import sentences
 from kartei.llm.ftrl import Softmax, fit
 from kartei.llm.lookalike import normalise_array
+from kartei.llm.words import hash_words, word_hashes
+from kartei.session import materialize
 
 DIM = 1 << 15
 CLEAN = "clean"
@@ -39,6 +43,7 @@ STEPS = {
 LOWERED = " lowered"
 CHAINS = [CLEAN, *STEPS, f"utf-8 as cp1252{LOWERED}", f"utf-8 as latin-1{LOWERED}"]
 LOSSY = "replaced"
+SURE = 0.95  # probability from which a segment is clean
 BLOCK = 5000  # segments scored at once
 MIXED = re.compile("[a-zA-Z][\u0400-\u04ff]|[\u0400-\u04ff][a-zA-Z]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -129,10 +134,10 @@ def _surely_garbled(s: str) -> bool:
 
 @dataclass
 class Garbling:
-    """The classifier, and the words seen more than once in clean text."""
+    """The classifier, and the hashes of the words seen in more than one clean segment."""
 
     softmax: Softmax
-    known: frozenset[str]
+    known: frozenset[int]
 
     def probabilities(self, segments: list[str]) -> np.ndarray:
         return np.concatenate([self.softmax.probabilities(*byte_bigrams(segments[a : a + BLOCK])) for a in range(0, len(segments), BLOCK)])
@@ -140,15 +145,23 @@ class Garbling:
     def known_share(self, before: str, after: str) -> float:
         """The share of known words among those of ``after`` that ``before`` lacks."""
         had = set(WORD.findall(before))
-        new = [w for w in WORD.findall(after) if w not in had]
-        return sum(w.lower() in self.known for w in new) / max(1, len(new))
+        new = hashed([w for w in WORD.findall(after) if w not in had])
+        return sum(h in self.known for h in new) / max(1, len(new))
 
     def unread(self, segment: str, back: str) -> bool:
         """True if the segment, look-alike letters and blanks unified, reads no better than the restored one."""
-        plain = normalise_array(pa.array([segment])).to_pylist()[0]
+        plain = unified(segment)
         return not plain.isascii() and self.known_share(back, plain) == 0
 
 
+def hashed(words: list[str]) -> list[int]:
+    return hash_words([w.lower() for w in words]).view(np.int64).tolist()
+
+
+def unified(segment: str) -> str:
+    return normalise_array(pa.array([segment])).to_pylist()[0]
+
+
 def train(texts: list[str], most: int = 3000, seed: int = 5) -> Garbling:
     """Clean segments are those no UTF-8 chain inverts; a second round drops those the first model sees as garbled.
 
@@ -171,10 +184,25 @@ def train(texts: list[str], most: int = 3000, seed: int = 5) -> Garbling:
             for _, k, g in sorted(options)[:8]:
                 xs.append(g), ys.append(k)
                 seen[k] += 1
-        model = Garbling(fit(*byte_bigrams(xs), np.array(ys, np.int64), len(CHAINS), DIM, epochs=2), frozenset(w for w, n in words.items() if n > 1))
+        model = Garbling(fit(*byte_bigrams(xs), np.array(ys, np.int64), len(CHAINS), DIM, epochs=2), frozenset(hashed([w for w, n in words.items() if n > 1])))
     return model
 
 
+def likely(p: np.ndarray) -> list[str]:
+    """The chains worth a try, likeliest first."""
+    return [CHAINS[k] for k in np.argsort(-p)[:6] if CHAINS[k] != CLEAN and p[k] >= 0.02]
+
+
+def inverted(segment: str, chain: str) -> tuple[str | None, int]:
+    """The segment before the chain, as a whole or else in its garbled words, and how many words could not be undone."""
+    back = invert(segment, chain)
+    if back is not None or not chain.startswith("utf-8"):
+        return back, 0
+    words = [invert(m.group(), chain) for m in PIECE.finditer(segment)]
+    rest = sum(w is None for w in words)
+    return (PIECE.sub(lambda m: invert(m.group(), chain) or m.group(), segment) if rest < len(words) else None), rest
+
+
 def _confirmed(segment: str, p: np.ndarray, model: Garbling | None) -> tuple[str, str] | None:
     """(chain, restored) of the likeliest chain that inverts strictly: as a whole, else in most garbled words.
 
@@ -182,20 +210,13 @@ def _confirmed(segment: str, p: np.ndarray, model: Garbling | None) -> tuple[str
     or none while the chain is likely and the segment as it stands has no known words either. The restored segment must be classified as clean, or two thirds of those words be known.
     """
     best = None
-    for k in np.argsort(-p)[:6]:
-        chain = CHAINS[k]
+    for chain in likely(p):
         sure = chain.startswith("utf-8") and not chain.endswith(LOWERED)
-        if chain == CLEAN or p[k] < 0.02:
-            continue
-        back, rest = invert(segment, chain), 0
-        if back is None and chain.startswith("utf-8"):
-            words = [(m, invert(m.group(), chain)) for m in PIECE.finditer(segment)]
-            rest = sum(w is None for _, w in words)
-            back = PIECE.sub(lambda m, c=chain: invert(m.group(), c) or m.group(), segment) if rest < len(words) else None
+        back, rest = inverted(segment, chain)
         if back is None or best and best[0] <= rest or any(ord(c) < 32 and c not in "\n\r\t" or 0x7F <= ord(c) < 0xA0 for c in back) or not sure and MIXED.search(back):
             continue
         share = model.known_share(segment, back) if model else 1.0
-        if model is None or (sure or share >= 1 / 3 or share == 0 and p[k] > 0.9 and model.unread(segment, back)) and (back.isascii() or not sure and share >= 2 / 3 or model.probabilities([back])[0, 0] > 0.5):
+        if model is None or (sure or share >= 1 / 3 or share == 0 and p[CHAINS.index(chain)] > 0.9 and model.unread(segment, back)) and (back.isascii() or not sure and share >= 2 / 3 or model.probabilities([back])[0, 0] > 0.5):
             best = rest, chain, back
     return best[1:] if best else None
 
@@ -214,7 +235,7 @@ def repair_texts(texts: list[str | None], model: Garbling) -> list[tuple[str | N
     for i, s, q in zip(where, pool, p, strict=True):
         if "�" in s:
             out[i] = (LOSSY, None)
-        elif q[0] < 0.95 and (found := _confirmed(s, q, model)):
+        elif q[0] < SURE and (found := _confirmed(s, q, model)):
             chain, now = out[i]
             if chain != LOSSY:
                 out[i] = (found[0], (texts[i] if now is None else now).replace(s, found[1]))
@@ -257,17 +278,71 @@ def training_texts(df: DataFrame, columns: list[str], key: str, rows: int, segme
     return [r.s for r in got]
 
 
+def clean_words(segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of segments, and for each the lowest and the highest hash of a segment that has it."""
+    h, row = word_hashes(segments)
+    order = np.argsort(h, kind="stable")
+    of = hash_words(segments).view(np.int64)[row[order]]
+    words, head = np.unique(h[order], return_index=True)
+    return words.view(np.int64), np.minimum.reduceat(of, head) if len(head) else of, np.maximum.reduceat(of, head) if len(head) else of
+
+
 def find_garbled(df: DataFrame, key: str, columns: dict[str, str], sample_rows: int = 3000, sample_segments: int = 12_000) -> DataFrame:
-    """(key, field_name, chain, restored) of every garbled field. columns: column -> name of the field."""
+    """(key, field_name, chain, restored) of every garbled field. columns: column -> name of the field.
+
+    The sample is for the classifier alone. One pass over all rows scores every segment: the words of those that are
+    surely clean are counted, the fields with others are kept with the words that their likely chains restore. A word is
+    known if two different clean segments of the table have it; each field is confirmed with what is known of its words.
+    """
     texts = training_texts(df, list(columns), key, sample_rows, sample_segments)
     model = df.sparkSession.sparkContext.broadcast(train(texts)) if texts else None
+    kind = df.schema[key].dataType.simpleString()
+    none = {"k": None, "field_name": None, "t": None, "wanted": None, "w": None, "low": None, "high": None}
 
-    def run(batches):
+    def scan(batches):
+        m = model.value if model else None
         for b in batches:
+            clean: list[str] = []
             for c, name in columns.items():
-                hits = [(k, name, *r) for k, r in zip(b[key], repair_texts(b[c].tolist(), model.value), strict=True) if r[0]] if model else []
-                yield pd.DataFrame(hits, columns=[key, "field_name", "chain", "restored"])
+                texts = b[c].tolist()
+                pool = list(dict.fromkeys(s for t in texts if t for s in segments_of(t))) if m else []
+                if not pool:
+                    continue
+                scored = dict(zip(pool, m.probabilities(pool), strict=True))
+                doubtful = {s: q for s, q in scored.items() if "\ufffd" in s or q[0] < SURE}
+                clean += [s for s in pool if s not in doubtful]
+                wanted: dict[str, list[int]] = {}
+                rows = []
+                for k, t in zip(b[key], texts, strict=True):
+                    mine = [s for s in segments_of(t) if s in doubtful] if t and not t.isascii() else []
+                    for s in mine:
+                        if s not in wanted:
+                            backs = [x for chain in likely(doubtful[s]) if (x := inverted(s, chain)[0]) is not None]
+                            wanted[s] = sorted(set(hashed([w for x in [*backs, unified(s)] for w in WORD.findall(x)])))
+                    if mine:
+                        rows.append((k, name, t, sorted({h for s in mine for h in wanted[s]})))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["k", "field_name", "t", "wanted"]).assign(w=None, low=None, high=None)
+            if clean:
+                w, low, high = clean_words(list(dict.fromkeys(clean)))
+                yield pd.DataFrame({**none, "w": w, "low": low, "high": high}, index=range(len(w)))
+
+    def confirm(batches):
+        m = model.value if model else None
+        for b in batches:
+            hits = []
+            for k, name, t, known in zip(b["k"], b["field_name"], b["t"], b["known"], strict=True):
+                chain, restored = repair_texts([t], replace(m, known=frozenset(() if known is None else known.tolist())))[0]
+                if chain:
+                    hits.append((k, name, chain, restored))
+            yield pd.DataFrame(hits, columns=[key, "field_name", "chain", "restored"])
 
-    kind = df.schema[key].dataType.simpleString()
     some = functools.reduce(lambda a, b: a | b, [F.col(c).rlike(r"[^\x00-\x7f]") for c in columns])
-    return df.select(key, *columns).where(some).mapInPandas(run, f"{key} {kind}, field_name string, chain string, restored string").distinct()
+    seen = df.select(key, *columns).where(some).mapInPandas(scan, f"k {kind}, field_name string, t string, wanted array<long>, w long, low long, high long")
+    seen = materialize(seen)
+    words = seen.where("w is not null").groupBy("w").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("w")
+    fields = seen.where("t is not null").select("k", "field_name", "t", "wanted").distinct().withColumn("id", F.xxhash64("k", "field_name", "t"))
+    asked = fields.select("id", F.explode("wanted").alias("w")).distinct().join(words, "w", "left_semi")
+    known = asked.groupBy("id").agg(F.collect_list("w").alias("known"))
+    ready = fields.join(known, "id", "left").select("k", "field_name", "t", "known")
+    return ready.mapInPandas(confirm, f"{key} {kind}, field_name string, chain string, restored string").distinct()
