@@ -287,6 +287,17 @@ def clean_words(segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return words.view(np.int64), np.minimum.reduceat(of, head) if len(head) else of, np.maximum.reduceat(of, head) if len(head) else of
 
 
+def words_wanted(segments: list[str], p: np.ndarray) -> list[np.ndarray]:
+    """The hashes of the words that decide about each segment: those its likely chains restore, and its own in one form."""
+    plain = normalise_array(pa.array(segments, pa.string())).to_pylist()
+    words = []
+    for s, q, own in zip(segments, p, plain, strict=True):
+        backs = [x for chain in likely(q) if (x := inverted(s, chain)[0]) is not None]
+        words.append([w.lower() for x in [*backs, own] for w in WORD.findall(x)])
+    h = hash_words([w for x in words for w in x]).view(np.int64)
+    return np.split(h, np.cumsum([len(x) for x in words])[:-1]) if words else []
+
+
 def find_garbled(df: DataFrame, key: str, columns: dict[str, str], sample_rows: int = 3000, sample_segments: int = 12_000) -> DataFrame:
     """(key, field_name, chain, restored) of every garbled field. columns: column -> name of the field.
 
@@ -305,22 +316,16 @@ def find_garbled(df: DataFrame, key: str, columns: dict[str, str], sample_rows:
             clean: list[str] = []
             for c, name in columns.items():
                 texts = b[c].tolist()
-                pool = list(dict.fromkeys(s for t in texts if t for s in segments_of(t))) if m else []
+                cut = [segments_of(t) if m and t else () for t in texts]
+                pool = list(dict.fromkeys(s for x in cut for s in x))
                 if not pool:
                     continue
-                scored = dict(zip(pool, m.probabilities(pool), strict=True))
-                doubtful = {s: q for s, q in scored.items() if "\ufffd" in s or q[0] < SURE}
-                clean += [s for s in pool if s not in doubtful]
-                wanted: dict[str, list[int]] = {}
-                rows = []
-                for k, t in zip(b[key], texts, strict=True):
-                    mine = [s for s in segments_of(t) if s in doubtful] if t and not t.isascii() else []
-                    for s in mine:
-                        if s not in wanted:
-                            backs = [x for chain in likely(doubtful[s]) if (x := inverted(s, chain)[0]) is not None]
-                            wanted[s] = sorted(set(hashed([w for x in [*backs, unified(s)] for w in WORD.findall(x)])))
-                    if mine:
-                        rows.append((k, name, t, sorted({h for s in mine for h in wanted[s]})))
+                p = m.probabilities(pool)
+                unsure = [k for k, (s, q) in enumerate(zip(pool, p[:, 0], strict=True)) if q < SURE or "\ufffd" in s]
+                wanted = dict(zip([pool[k] for k in unsure], words_wanted([pool[k] for k in unsure], p[unsure]), strict=True))
+                clean += [s for s in pool if s not in wanted]
+                found = [(k, t, [wanted[s] for s in x if s in wanted]) for k, t, x in zip(b[key], texts, cut, strict=True)]
+                rows = [(k, name, t, np.unique(np.concatenate(w))) for k, t, w in found if w]
                 if rows:
                     yield pd.DataFrame(rows, columns=["k", "field_name", "t", "wanted"]).assign(w=None, low=None, high=None)
             if clean:
