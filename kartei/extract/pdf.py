@@ -71,8 +71,9 @@ def pdf(content: bytes, info: Info) -> Resource:
             if text:
                 parts.append(text)
                 left -= len(text.encode()) + 1
+    info_object, outline = _directories(objects)
     for key, prop in ((b"Title", "nie:title"), (b"Subject", "nie:subject"), (b"Author", "nco:creator"), (b"Creator", "nie:generator"), (b"Keywords", "keywords"), (b"CreationDate", "nie:contentCreated")):
-        m = re.search(rb"/" + key + rb"\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>)", objects, re.DOTALL)
+        m = re.search(rb"/" + key + rb"\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>)", info_object, re.DOTALL)
         if not m or "nfo:isContentEncrypted" in r.props:
             continue
         value = _string(m[1])
@@ -82,10 +83,28 @@ def pdf(content: bytes, info: Info) -> Resource:
         else:
             r.set(prop, ps_date(value) if key == b"CreationDate" else value)
     r.set("nfo:pageCount", len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", objects)) or None)
+    if "nfo:isContentEncrypted" not in r.props:
+        r.set("nfo:tableOfContents", " ".join(outline))
     r.set("nie:plainTextContent", limit_text(" ".join(parts), info.max_text))
     return r
 
 
+OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.DOTALL)
+TITLE = re.compile(rb"/Title\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>)", re.DOTALL)
+
+
+def _directories(objects: bytes) -> tuple[bytes, list[str]]:
+    """The information object, or everything where none is named, and the titles of the outline in their order."""
+    named = re.search(rb"/Info\s+(\d+)\s+\d+\s+R", objects)
+    found, outline = objects, []
+    for m in OBJECT.finditer(objects):
+        if named and m[1] == named[1]:
+            found = m[2]
+        elif b"/Parent" in m[2] and b"/Title" in m[2] and (t := TITLE.search(m[2])):
+            outline.append(_string(t[1]))
+    return found, outline
+
+
 def _page_text(body: bytes) -> str:
     """Shown strings of the text blocks; large negative kerning is a blank."""
     out: list[str] = []

@@ -131,8 +131,17 @@ def apply_xmp(r: Resource, data: bytes) -> None:
         elif name in XMP_MANY:
             for v in vals:
                 r.add(XMP_MANY[name], v)
-        elif name == "Orientation" and vals and vals[0].isdigit():
-            r.set("nfo:orientation", f"nfo:orientation-{ORIENTATION.get(int(vals[0]), 'top')}")
+        elif name in ("Orientation", "MeteringMode", "Flash") and vals:
+            m = re.match(r"\s*(\d+)", vals[0])
+            n = int(m[1]) if m else 0
+            if name == "Orientation":
+                r.set("nfo:orientation", f"nfo:orientation-{ORIENTATION.get(n, 'top')}")
+            elif name == "MeteringMode":
+                r.set("nmm:meteringMode", f"nmm:metering-mode-{METERING.get(n, 'other')}")
+            else:
+                r.set("nmm:flash", "nmm:flash-on" if n & 1 else "nmm:flash-off")
+        elif name == "WhiteBalance" and vals:
+            r.set("nmm:whiteBalance", "nmm:white-balance-manual" if vals[0] == "1" else "nmm:white-balance-auto")
 
     for d in root.iter():
         if local(d.tag) != "Description":

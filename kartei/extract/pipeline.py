@@ -36,6 +36,17 @@ def complete(extracted: DataFrame) -> DataFrame:
     return extracted.select("graph", F.concat(F.lit("urn:ie:"), F.sha2("url", 256)).alias("urn"), "mime_type", types.alias("rdf_types"), F.array("url").alias("stored_as"), "title", "plain_text", "props", "children", "error")
 
 
+def merge_entities(entities: DataFrame) -> DataFrame:
+    """entities(urn, ord, props map<string,string>) that several files tell of, one row a urn: (urn, props).
+
+    The first value of a property, in order, wins. Values are told apart before they are grouped, so an entity that most
+    files tell of is aggregated within tasks first.
+    """
+    each = entities.where("urn is not null").select("urn", "ord", F.explode("props").alias("p", "v")).where("v is not null")
+    first = each.groupBy("urn", "p").agg(F.min_by("v", F.struct("ord", "v")).alias("v"))
+    return first.groupBy("urn").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "v")))).alias("props"))
+
+
 def sheets_of(audio: DataFrame, sheets: DataFrame) -> DataFrame:
     """(url, cue_url): the sheet of the same name in the folder, else the sheets of the folder that name the file.
 

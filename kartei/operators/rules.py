@@ -67,13 +67,18 @@ def shipped_rules(spark: SparkSession, sound: str = "libav") -> DataFrame:
 
 def parse_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules from the key files of a folder on the driver, in the order of their names."""
+    return parse_texts(spark, {p.name: p.read_text(encoding="utf-8") for p in Path(folder).glob("*.rule")})
+
+
+def parse_texts(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """Rules from the texts of key files, in the order of their names."""
     rows = []
-    for n, path in enumerate(sorted(Path(folder).glob("*.rule"))):
+    for n, (name, text) in enumerate(sorted(files.items())):
         p = configparser.ConfigParser(interpolation=None, strict=False)
-        p.read(path, encoding="utf-8")
+        p.read_string(text)
         s = p["ExtractorRule"] if p.has_section("ExtractorRule") else {}
         many = lambda k, s=s: [x for x in s.get(k, "").split(";") if x]
-        rows.append((n, path.name, many("MimeTypes"), many("BlockMimeTypes"), many("FallbackRdfTypes"), s.get("Graph"), s.get("Hash"), s.get("ModulePath")))
+        rows.append((n, name, many("MimeTypes"), many("BlockMimeTypes"), many("FallbackRdfTypes"), s.get("Graph"), s.get("Hash"), s.get("ModulePath")))
     return spark.createDataFrame(rows, SCHEMA)
 
 

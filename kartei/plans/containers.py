@@ -67,7 +67,7 @@ def _xml(text: object) -> str:
 
 
 def _pdf(title: str, author: str, pages: int) -> bytes:
-    objects = []
+    objects = [b"<< /Title (Part %d) /Parent 99 0 R /Dest [1 0 R /Fit] >>" % n for n in range(1, pages % 3 + 2)]
     for n in range(1, pages % 3 + 2):
         words = f"BT /F1 9 Tf ({title} page) Tj 0 -12 Td [(nu) -20 (mber) -300 ({n})] TJ ET".encode("cp1252")
         packed = zlib.compress(words) if n % 2 else words
@@ -75,16 +75,17 @@ def _pdf(title: str, author: str, pages: int) -> bytes:
         objects.append(b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(packed), b"/Filter /FlateDecode " if n % 2 else b"", packed))
     info = b"<< /Title <FEFF%s> /Author (%s \\(of parts\\)) /Keywords (one, two) /CreationDate (D:20240428180000Z) >>" % (title.encode("utf-16-be").hex().upper().encode(), author.encode("cp1252"))
     body = b"".join(b"%d 0 obj %s endobj\n" % (k, o) for k, o in enumerate([*objects, info], 1))
-    return b"%PDF-1.5\n" + body + b"trailer << >>\n%%EOF\n"
+    return b"%PDF-1.5\n" + body + b"trailer << /Info %d 0 R >>\n%%%%EOF\n" % (len(objects) + 1)
 
 
 @query("x03_pdf", """
 select p_partkey::varchar as url, p_name as title, p_brand || ' (of parts)' as author, 'one,two' as keywords, (p_size % 3 + 1)::int as pages, '2024-04-28T18:00:00Z' as created,
+array_to_string(list_transform(range(1, p_size % 3 + 2), lambda n: 'Part ' || n), ' ') as contents,
 array_to_string(list_transform(range(1, p_size % 3 + 2), lambda n: p_name || ' page number ' || n), ' ') as plain_text from part""")
 def x03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one to three pages, every other stream deflated, one title in UTF-16."""
+    """Documents of one to three pages with an outline, every other stream deflated, the title in UTF-16."""
     out = extract(_made(_part(spark, sf_dir, "p_name", "p_brand", "p_size"), "pdf", _pdf))
-    return out.select("url", "title", _p("nco:creator").alias("author"), F.array_join(F.col("props")["nie:keyword"], ",").alias("keywords"), _p("nfo:pageCount", "int").alias("pages"), _p("nie:contentCreated").alias("created"), "plain_text")
+    return out.select("url", "title", _p("nco:creator").alias("author"), F.array_join(F.col("props")["nie:keyword"], ",").alias("keywords"), _p("nfo:pageCount", "int").alias("pages"), _p("nie:contentCreated").alias("created"), _p("nfo:tableOfContents").alias("contents"), "plain_text")
 
 
 def _epub(title: str, author: str, size: int) -> bytes:
@@ -372,8 +373,8 @@ def x25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _xmp(name: str, author: str, size: int) -> bytes:
     bag = lambda *v: "<r:Bag>" + "".join(f"<r:li>{_xml(x)}</r:li>" for x in v) + "</r:Bag>"
     region = f'<m:RegionList>{bag("")[:-8]}<r:li><r:Description m:Name="{_xml(name)}" m:Type="Face"><m:Area s:x="0.{size:02d}" s:y="0.5" s:w="0.1" s:h="0.2"/></r:Description></r:li></r:Bag></m:RegionList>'.replace("<r:li></r:li>", "")
-    body = f'<r:Description p:Rating="{size % 6}" p:City="Town {size}"><d:title><r:Alt><r:li>{_xml(name)}</r:li></r:Alt></d:title><d:creator>{bag(author)}</d:creator><d:subject>{bag("one", f"k{size}")}</d:subject><t:Orientation>{size % 8 + 1}</t:Orientation><m:Regions>{region}</m:Regions></r:Description>'
-    return f'<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:r="r" xmlns:d="d" xmlns:p="p" xmlns:t="t" xmlns:m="m" xmlns:s="s"><r:RDF>{body}</r:RDF></x:xmpmeta>'.encode()
+    body = f'<r:Description p:Rating="{size % 6}" p:City="Town {size}"><d:title><r:Alt><r:li>{_xml(name)}</r:li></r:Alt></d:title><d:creator>{bag(author)}</d:creator><d:subject>{bag("one", f"k{size}")}</d:subject><t:Orientation>{size % 8 + 1}</t:Orientation><e:MeteringMode>{size % 8}</e:MeteringMode><e:Flash>{size % 4}</e:Flash><e:WhiteBalance>{size % 3}</e:WhiteBalance><m:Regions>{region}</m:Regions></r:Description>'
+    return f'<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:r="r" xmlns:d="d" xmlns:p="p" xmlns:t="t" xmlns:e="e" xmlns:m="m" xmlns:s="s"><r:RDF>{body}</r:RDF></x:xmpmeta>'.encode()
 
 
 def _with_xmp(name: str, author: str, size: int) -> bytes:
@@ -382,11 +383,12 @@ def _with_xmp(name: str, author: str, size: int) -> bytes:
 
 @query("x26_xmp", """
 select p_partkey::varchar as url, p_name as title, p_brand as author, 'one,k' || p_size as keywords, (p_size % 6)::varchar as rating, 'Town ' || p_size as city,
-'nfo:orientation-' || ['top', 'top-mirror', 'bottom', 'bottom-mirror', 'left-mirror', 'right', 'right-mirror', 'left'][p_size % 8 + 1] as orientation, p_name as region, 'nfo:roi-content-face' as region_type, (p_size / 100.0)::float as x from part""")
+'nfo:orientation-' || ['top', 'top-mirror', 'bottom', 'bottom-mirror', 'left-mirror', 'right', 'right-mirror', 'left'][p_size % 8 + 1] as orientation, p_name as region, 'nfo:roi-content-face' as region_type, (p_size / 100.0)::float as x,
+'nmm:metering-mode-' || ['other', 'average', 'center-weighted-average', 'spot', 'multispot', 'pattern', 'partial', 'other'][p_size % 8 + 1] as metering, case when p_size % 4 in (1, 3) then 'nmm:flash-on' else 'nmm:flash-off' end as flash, case when p_size % 3 = 1 then 'nmm:white-balance-manual' else 'nmm:white-balance-auto' end as white from part""")
 def x26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets with elements, attributes, lists and a region."""
     out = extract(_made(_part(spark, sf_dir, "p_name", "p_brand", "p_size"), "jpeg", _with_xmp))
-    return out.select("url", "title", _p("nco:creator").alias("author"), F.array_join(F.col("props")["nie:keyword"], ",").alias("keywords"), _p("nao:numericRating").alias("rating"), _p("nco:locality").alias("city"), _p("nfo:orientation").alias("orientation"), _child("nie:title").alias("region"), _child("nfo:regionOfInterestType").alias("region_type"), _child("nfo:regionOfInterestX", "float").alias("x"))
+    return out.select("url", "title", _p("nco:creator").alias("author"), F.array_join(F.col("props")["nie:keyword"], ",").alias("keywords"), _p("nao:numericRating").alias("rating"), _p("nco:locality").alias("city"), _p("nfo:orientation").alias("orientation"), _child("nie:title").alias("region"), _child("nfo:regionOfInterestType").alias("region_type"), _child("nfo:regionOfInterestX", "float").alias("x"), _p("nmm:meteringMode").alias("metering"), _p("nmm:flash").alias("flash"), _p("nmm:whiteBalance").alias("white"))
 
 
 def _with_iptc(key: int, name: str, author: str) -> bytes:

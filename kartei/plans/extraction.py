@@ -87,6 +87,18 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.sheets_of(audio, sheets)
 
 
+@query("j10_merged_entities", """
+with s as (select distinct artist as urn, urn as song, genre, composer, album from ies where artist is not null)
+select urn, arg_min(genre, (song, genre)) filter (genre is not null) as genre, arg_min(composer, (song, composer)) filter (composer is not null) as composer, arg_min(album, (song, album)) filter (album is not null) as album from s
+group by urn having count(genre) + count(composer) + count(album) > 0""")
+def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all songs tell of their artists: the first value, by song, of each property."""
+    i = _read(spark, sf_dir, "ies").where("artist is not null").select("artist", "urn", "genre", "composer", "album").distinct()
+    props = F.create_map(*[x for c in ("genre", "composer", "album") for x in (F.lit(c), F.col(c))])
+    out = pipeline.merge_entities(i.select(F.col("artist").alias("urn"), F.col("urn").alias("ord"), props.alias("props")))
+    return out.select("urn", *[F.col("props")[c].alias(c) for c in ("genre", "composer", "album")])
+
+
 @query("x31_complete", """
 select doc_id::varchar as url, 'tracker:Documents' as graph, 'nie:InformationElement,nfo:Document,nfo:PlainTextDocument' as types, length(trim(text, ' ' || chr(10) || chr(13) || chr(9)))::int as n from documents""")
 def x31(spark: SparkSession, sf_dir: str) -> DataFrame:

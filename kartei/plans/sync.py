@@ -397,6 +397,21 @@ def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mime_type", "module", "graph", F.try_element_at("rdf_types", F.lit(1)).alias("first_type"), "rules")
 
 
+@query("src06_rule_files", """
+select mime_type, case when starts_with(mime_type, 'audio/') and mime_type <> 'audio/flac' then 'sound' when mime_type in ('image/png', 'image/tiff') then 'first' when starts_with(mime_type, 'image/') then 'second' end as module,
+case when starts_with(mime_type, 'audio/') and mime_type <> 'audio/flac' then 'tracker:Audio' when starts_with(mime_type, 'image/') then 'tracker:Pictures' end as graph,
+(starts_with(mime_type, 'audio/') and mime_type <> 'audio/flac')::int + starts_with(mime_type, 'image/')::int + (mime_type in ('image/png', 'image/tiff'))::int as rules from (select distinct mime_type from ies where mime_type is not null)""")
+def src06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key files with wildcards, a block list, and attributes left to a later rule."""
+    head = "[ExtractorRule]\n"
+    files = {
+        "20-late.rule": f"{head}ModulePath=second\nMimeTypes=image/*;\nGraph=tracker:Pictures\nHash=b\n",
+        "10-early.rule": f"{head}# no graph of its own\nModulePath=first\nMimeTypes=image/png;image/tif?;\n",
+        "15-sound.rule": f"{head}ModulePath=sound\nMimeTypes=audio/*;\nBlockMimeTypes=audio/fl*;\nGraph=tracker:Audio\nHash=a\n",
+    }
+    return rules.match_rules(Catalog.load(spark, sf_dir).ies, rules.parse_texts(spark, files)).select("mime_type", "module", "graph", "rules")
+
+
 @query("sc12_nested_paths", """
 with p as (select url as path from folders union select url from roots)
 select path from p where not exists (select 1 from p q where starts_with(p.path, q.path || '/'))""")
