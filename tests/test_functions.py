@@ -123,3 +123,31 @@ def test_media(spark):
     assert one(spark, "Pets", media.region_type) == "nfo:roi-content-pet"
     assert one(spark, "(17)Rock", media.genre_number) == 17
     assert one(spark, 9, media.orientation, "int") == "nfo:orientation-top"
+
+
+@pytest.mark.parametrize(
+    ("word", "want"),
+    [line.split() for line in "consign consign|consigned consign|consistency consist|consolation consol|knightly knight|kneeling kneel|knots knot|generously generous|generate generat|ties tie|cries cri|gas gas|gaps gap|kiwis kiwi|agreed agre|hopping hop|hoping hope|falling fall|happy happi|by by|say say|relational relat|sensational sensat|national nation|skies sky|dying die|herrings herring|cement cement|replacement replac|adoption adopt|invoices invoic|missing miss|references refer|hopefulness hope|controlling control|y y|yes yes|employer employ".split("|")],
+)
+def test_stems(word, want):
+    from kartei.functions.stem import stem, word_forms
+
+    assert stem(word) == want
+    assert word in word_forms(word) and all(stem(f) == want for f in word_forms(word))
+
+
+def test_forms_hold_the_words_of_the_texts(tiny):
+    """Whatever word of a group of one stem is asked for, the others are among its forms."""
+    import re
+
+    import duckdb
+
+    from kartei.functions.stem import stem, word_forms
+
+    texts = duckdb.sql(f"select text from '{tiny}/documents.parquet' where lang = 'en'").fetchall()
+    words = {w for (t,) in texts for w in re.findall("[a-z]{3,12}", t)} | set("plans planned planning planner agree agrees agreed agreement agreeing happy happier happily happiness relate related relation relations relational connect connected connecting connection connections connective".split())
+    groups: dict[str, set[str]] = {}
+    for w in words:
+        groups.setdefault(stem(w), set()).add(w)
+    pairs = [(a, b) for g in groups.values() for a in g for b in g if a != b]
+    assert len(pairs) > 50 and sum(b in word_forms(a) for a, b in pairs) >= 0.98 * len(pairs)
