@@ -67,6 +67,16 @@ def apply_events(c: Catalog, events: DataFrame, listing: DataFrame) -> Catalog:
     return mutations.orphan_artists(mutations.upsert_files(c, times, attributes_only=True))
 
 
+def touched_graphs(c: Catalog, events: DataFrame, listing: DataFrame) -> set[str]:
+    """The graphs with a row at, below, or stored at or below what the events name, and those of the listing."""
+    named = events.select(F.explode(F.array("file_url", "dest_url")).alias("_a")).where("_a is not null").distinct()
+    stored = c.ies.select("graph", F.explode("stored_as").alias("url"))
+    rows = c.files.select("graph", "url").union(stored).distinct()
+    hit = climb(rows.select("url").distinct(), "url", named, "_a").join(named, "_a", "left_semi").select("url").distinct()
+    graphs = rows.join(hit, "url", "left_semi").select("graph").union(listing.select("graph")).distinct()
+    return {FILE_SYSTEM, *(r.graph for r in graphs.collect() if r.graph is not None)}
+
+
 def collect_garbage(c: Catalog, discs: DataFrame, albums: DataFrame) -> tuple[Catalog, DataFrame, DataFrame]:
     """discs(disc, album), albums(album) and the artists that still have a song, once for a batch: discs, albums, artists.
 
@@ -88,8 +98,9 @@ def apply_and_save(folder: str, listing):
         spark = events.sparkSession
         if batch_id <= snapshot.last_batch(spark, folder):
             return
-        c = snapshot.read(spark, folder)
-        snapshot.write(apply_events(c, events, listing(events)), folder, batch_id)
+        c, rows = snapshot.read(spark, folder), listing(events)
+        changed = touched_graphs(c, events, rows)
+        snapshot.write(apply_events(c, events, rows), folder, batch_id, changed)
 
     return each
 

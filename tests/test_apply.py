@@ -74,6 +74,34 @@ def test_batches_are_applied_once(spark, small, tmp_path):
     assert snapshot.current(spark, store) == 2
 
 
+def rows_of(c):
+    return {n: sorted(str(r) for r in getattr(c, n).collect()) for n in snapshot.TABLES}
+
+
+def test_a_snapshot_rewrites_only_the_graphs_that_change(spark, small, tmp_path):
+    store = str(tmp_path / "store")
+    assert snapshot.read(spark, store) is None and snapshot.last_batch(spark, store) == -1
+    snapshot.write(small, store)
+    assert rows_of(snapshot.read(spark, store)) == rows_of(small)
+    each = apply.apply_and_save(store, lambda e: small.files.limit(0))
+    event = lambda url: spark.createDataFrame([(1, "DELETED", url, None, False, False)], EVENT)
+    each(event("file:///r/a/b.txt"), 0)
+    held = snapshot.manifest(spark, store, 2)
+    assert held["files"] == {"graph=tracker%3AFileSystem": 2} and held["ies"] == {"graph=tracker%3AAudio": 1, "graph=tracker%3ADocuments": 2} and held["roots"] == 1
+    c = snapshot.read(spark, store)
+    assert {r.urn for r in c.ies.collect()} == {"i2", "i3"} and c.ies.columns == small.ies.columns
+    each(event("file:///r/a/sub/c.mp3"), 1)
+    assert snapshot.manifest(spark, store, 3)["ies"] == {"graph=tracker%3ADocuments": 2}  # the last song is gone
+    want = rows_of(snapshot.read(spark, store))
+    snapshot.drop_old(spark, store, 1)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if p.is_dir()) == ["snap-1", "snap-2", "snap-3"]
+    assert rows_of(snapshot.read(spark, store)) == want and snapshot.last_batch(spark, store) == 1
+    snapshot.write(snapshot.read(spark, store), store)
+    snapshot.drop_old(spark, store, 1)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if p.is_dir()) == ["snap-4"]
+    assert rows_of(snapshot.read(spark, store)) == want
+
+
 def test_pending_files_are_extracted_and_bad_ones_reported(spark, small):
     content = [("file:///r/e.bin", "text/plain", bytearray(b"found text")), ("file:///r/a/b.txt", "text/plain", bytearray(b"done before"))]
     bad = small.files.where("url = 'file:///r/e.bin'").withColumn("url", F.lit("file:///r/bad.ps"))
