@@ -54,6 +54,29 @@ def postings(c: Catalog) -> DataFrame:
     return each.groupBy("token", "graph", "urn").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.count_distinct("pos").alias("tf")).select("token", "graph", "urn", "tf", "first_pos")
 
 
+#: Folders of a stored index; the postings of a token, however many, lie in one folder, in several files.
+BUCKETS, FILES = 256, 4
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(index: DataFrame, folder: str) -> None:
+    """Store an index by the hash of its tokens, so that a look-up reads the folders of its words alone."""
+    placed = index.withColumn("bucket", _bucket(F.col("token")))
+    placed.repartition("bucket", F.pmod(F.xxhash64("urn"), F.lit(FILES))).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def read_postings(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:
+    """The postings of the words of the terms, in any form, from a stored index."""
+    forms = sorted({f for w in query_words(terms) for f in word_forms(w)})
+    if not forms:
+        return spark.read.parquet(folder).drop("bucket").where(F.lit(False))
+    places = functools.reduce(lambda a, b: a | b, [F.col("bucket") == _bucket(F.lit(f)) for f in forms])
+    return spark.read.parquet(folder).where(places & F.col("token").isin(forms)).drop("bucket")
+
+
 def lookup(index: DataFrame, terms: list[str]) -> DataFrame:
     """(graph, urn) that hold every word, from the index: one pass and one aggregation however many words."""
     stems = {stem(w): w for w in query_words(terms)}

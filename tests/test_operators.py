@@ -233,3 +233,19 @@ def test_insert_and_remove_tags(spark, tiny):
 def test_kind_of_is_null_for_unknown(spark):
     df = spark.createDataFrame([("ODD", None)], "op string, a boolean")
     assert df.select(coalesce.kind_of(F.col("op"), F.col("a"))).first()[0] is None
+
+
+def test_a_stored_index_reads_only_the_folders_of_its_words(spark, tiny, tmp_path):
+    from kartei.catalog import Catalog
+    from kartei.plans import search
+
+    index = search.postings(Catalog.load(spark, tiny))
+    folder = str(tmp_path / "index")
+    search.write_postings(index, folder)
+    terms = ["missing", "Invoices"]
+    stored = search.read_postings(spark, folder, terms)
+    rows = lambda df: sorted(map(tuple, search.lookup(df, terms).collect()))
+    assert rows(stored) == rows(index) and rows(stored)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "xxhash64" not in plan
+    assert len(stored.inputFiles()) <= 8 * 60 and search.read_postings(spark, folder, [" "]).count() == 0
