@@ -139,3 +139,37 @@ def test_tag_text_and_counts_of_empty_tables(spark, small):
 
     empty = Catalog(**{n: getattr(small, n).limit(0) for n in ("files", "ies", "roots", "folders", "artists", "tags")})
     assert stats.count_files(empty).first().n == 0 and stats.class_stats(empty).count() == 0 and stats.quads(empty).count() == 0
+
+
+def test_events_of_the_test_tables_as_applied_one_by_one(spark, tiny):
+    """The files after a batch, against a plain loop over the same rows."""
+    from kartei.operators.coalesce import coalesce_events
+    from test_operators import in_order
+
+    c = Catalog.load(spark, tiny)
+    events = spark.read.parquet(f"{tiny}/change_events.parquet")
+    names = ["seq", "op", "file_url", "dest_url", "is_dir", "attributes_only"]
+    folder = c.folders.agg(F.min("url")).first()[0]
+    top = events.agg(F.max("seq")).first()[0]
+    more = spark.createDataFrame([(top + 1, "DELETED", folder, None, True, False)], EVENT)
+    rows = sorted({tuple(r) for r in events.select(*names).union(more).collect() if r.op and r.file_url})
+    last: dict[str, tuple] = {}
+    for r in in_order(rows):
+        last[r[2]] = max(r, last.get(r[2], r), key=lambda x: x[0])
+    disk = {r.url: r.extractor_hash for r in c.in_graph("files", FILE_SYSTEM).collect()}
+    files = {(r.graph, r.url): r.extractor_hash for r in c.files.collect()}
+    gone = [u for u, r in last.items() if r[1] == "DELETED"]
+    moved = {u: r[3] for u, r in last.items() if r[1] == "MOVED" and r[3]}
+    at = lambda url, base: url == base or url.startswith(base + "/")
+    want = {}
+    for (graph, url), h in files.items():
+        if any(at(url, g) for g in gone):
+            continue
+        base = max((m for m in moved if at(url, m)), key=len, default=None)
+        want[graph, moved[base] + url[len(base) :] if base else url] = h
+    for u, r in last.items():
+        if r[1] in ("CREATED", "UPDATED") and u in disk and not r[5]:
+            want[FILE_SYSTEM, u] = None
+    after = apply.apply_events(c, coalesce_events(events.select(*names).union(more)), c.in_graph("files", FILE_SYSTEM))
+    got = {(r.graph, r.url, r.extractor_hash) for r in after.files.collect()}
+    assert got == {(*k, h) for k, h in want.items()} and len(want) < len(files)
