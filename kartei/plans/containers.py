@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartei.extract import writeback
 from kartei.extract.base import extract
 from kartei.functions import binary
 from kartei.plans.registry import query
@@ -487,6 +488,52 @@ def x24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ies.select(F.col("stored_as")[0].alias("url"), _p("nfo:width", "int").alias("width"), _p("nfo:height", "int").alias("height"))
 
 
+# written back and read again
+
+
+def _written(files: DataFrame, props: Column, module: Column) -> DataFrame:
+    """The files with properties written into them twice, the second time over the first."""
+    first = F.transform_values(props, lambda k, v: F.array(F.lit("to be replaced")))
+    once = writeback.rewrite(files.withColumn("props", first)).select("url", "mime_type", "content")
+    twice = writeback.rewrite(once.withColumn("props", props))
+    return extract(twice.select("url", "mime_type", module.alias("module"), F.array().cast("array<string>").alias("rdf_types"), "content"))
+
+
+def _plain_image(key: int) -> bytes:
+    kinds = (lambda: _jpeg(30, 20, (0xFE, b"kept")), lambda: _png("kept", "Me", 30), lambda: _gif("kept", 30), lambda: _tiff([(0x100, 3, _number(30)), (0x101, 3, _number(20)), (0x10E, 2, b"kept\0")]))
+    return kinds[key % 4]()
+
+
+@query("q19_embedded_xmp", """
+select p_partkey::varchar as url, 'Part ' || p_partkey as title, 'one,k' || p_partkey as keywords, 30 as width,
+case p_partkey % 4 when 1 then null when 3 then null else 'kept' end as comment from part""")
+def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets in four kinds of images, whose own comments and sizes stay; a packet comes before the texts of a PNG."""
+    mime = F.element_at(F.array(*[F.lit(f"image/{k}") for k in ("jpeg", "png", "gif", "tiff")]), (F.col("url").cast("int") % 4 + 1).cast("int"))
+    files = _made(_read(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("key")), "", _plain_image).select("url", mime.alias("mime_type"), "content")
+    props = F.create_map(F.lit("nie:title"), F.array(F.concat(F.lit("Part "), F.col("url"))), F.lit("nie:keyword"), F.array(F.lit("one"), F.concat(F.lit("k"), F.col("url"))))
+    out = _written(files, props, F.regexp_extract("mime_type", "/(.*)", 1))
+    return out.select("url", "title", F.array_join(F.col("props")["nie:keyword"], ",").alias("keywords"), _p("nfo:width", "int").alias("width"), _p("nie:comment").alias("comment"))
+
+
+def _plain_sound(key: int, name: str) -> bytes:
+    if key % 2:
+        return _flac("old title", name, 4)
+    return _id3(3, {"TIT2": "old title", "TCOM": name}) + (struct.pack(">I", 0xFFFB9000) + bytes(413)) * 39
+
+
+@query("q20_audio_tags", """
+select c_custkey::varchar as url, 'Song ' || c_custkey as title, 'Ärtist ' || c_custkey as artist, (c_custkey % 90 + 1)::int as track, case when c_custkey % 2 = 0 then c_name end as composer, case when c_custkey % 2 = 1 then 5 else 1 end as seconds from customer""")
+def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags in MP3 and FLAC: what is not written stays, the sound too."""
+    df = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("key"), "c_name")
+    odd = F.col("url").cast("int") % 2 == 1
+    files = _made(df, "", _plain_sound).select("url", F.when(odd, "audio/flac").otherwise("audio/mpeg").alias("mime_type"), "content")
+    props = F.create_map(F.lit("nie:title"), F.array(F.concat(F.lit("Song "), F.col("url"))), F.lit("nmm:artist"), F.array(F.concat(F.lit("Ärtist "), F.col("url"))), F.lit("nmm:trackNumber"), F.array((F.col("url").cast("int") % 90 + 1).cast("string")))
+    out = _written(files, props, F.when(F.col("mime_type") == "audio/flac", "libav").otherwise("mp3"))
+    return out.select("url", "title", F.array_join(F.col("props")["nmm:artist"], ",").alias("artist"), _p("nmm:trackNumber", "int").alias("track"), _p("nmm:composer").alias("composer"), _p("nfo:duration", "int").alias("seconds"))
+
+
 # discs
 
 

@@ -246,3 +246,22 @@ def test_reports(spark):
     assert reports.current(one, files, ["a b"]).count() == 1
     assert reports.current(one, files, ["zzz"]).count() == 0
     assert reports.forget(one, files.withColumnRenamed("url", "uri")).count() == 0
+
+
+def test_writing_back_in_place(spark, tmp_path):
+    from kartei.extract import writeback
+
+    seg = lambda m, d: b"\xff" + bytes([m]) + struct.pack(">H", len(d) + 2) + d
+    jpg = b"\xff\xd8" + seg(0xE1, b"Exif\0\0" + EXIF) + seg(0xC0, b"\x08" + struct.pack(">HH", 480, 640) + b"\x03") + b"\xff\xd9"
+    song = id3([(b"TIT2", b"\x03Old"), (b"TXXX", b"\x03MusicBrainz Album Id\0abc")]) + struct.pack(">I", 0xFFFB9000) + bytes(413)
+    for name, data in (("a.jpg", jpg), ("b.mp3", song), ("c.txt", b"text"), ("d.jpg", b"broken")):
+        (tmp_path / name).write_bytes(data)
+    rows = [(str(tmp_path / n), m, {"nie:title": ["Neu & gut"]}) for n, m in (("a.jpg", "image/jpeg"), ("b.mp3", "audio/mpeg"), ("c.txt", "text/plain"), ("d.jpg", "image/jpeg"), ("gone.jpg", "image/jpeg"))]
+    df = spark.createDataFrame(rows, "path string, mime_type string, props map<string,array<string>>")
+    errors = {r.path.rsplit("/", 1)[1]: r.error for r in writeback.write_files(df).collect()}
+    assert errors["a.jpg"] is None and errors["b.mp3"] is None and "not written" in errors["c.txt"] and "no JPEG" in errors["d.jpg"] and errors["gone.jpg"]
+    r = images.jpeg((tmp_path / "a.jpg").read_bytes(), INFO)
+    assert r.get("nie:title") == "Neu & gut" and r.get("nie:contentCreated") == "2020-01-02T03:04:05"
+    assert audio.mp3((tmp_path / "b.mp3").read_bytes(), INFO).get("nie:title") == "Neu & gut" and (tmp_path / "b.mp3").read_bytes().endswith(song[-417:])
+    assert b"abc" in (tmp_path / "b.mp3").read_bytes() and (tmp_path / "c.txt").read_bytes() == b"text" and (tmp_path / "d.jpg").read_bytes() == b"broken"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.jpg", "b.mp3", "c.txt", "d.jpg"]
