@@ -44,6 +44,7 @@ SENTENCES, LONGEST = 12_000, 2000
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
 QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 NOISE = re.compile(r"\b\w+:/+\S+|/\S+/\S+|[\d_]+")
+NOISY, QUOTE = re.compile(r"[\d_/]"), re.compile("[“”«»„\"]")  # without one of these there is nothing to leave out
 ACCENTED = frozenset(map(chr, range(0xC0, 0x100)))
 BLOCK = 2000  # sentences scored at once
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,9 +70,11 @@ def readable(sentence: str) -> str:
 
 def plain(sentence: str) -> str:
     """What of a sentence shows its language: no quotes, paths or numbers."""
-    whole = NOISE.sub(" ", sentence)
-    words = LETTERS.findall(QUOTED.sub(" ", whole).lower())
-    return f" {' '.join(words if len(words) > 3 else LETTERS.findall(whole.lower()))} "
+    whole = (NOISE.sub(" ", sentence) if NOISY.search(sentence) else sentence).lower()
+    if not QUOTE.search(whole):
+        return f" {' '.join(LETTERS.findall(whole))} "
+    words = LETTERS.findall(QUOTED.sub(" ", whole))
+    return f" {' '.join(words if len(words) > 3 else LETTERS.findall(whole))} "
 
 
 def char_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +82,7 @@ def char_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), size)
-    codes, rows = [], []
+    each = []
     h = np.zeros(len(points), np.int64)
     for n in ORDERS:
         m = len(points) - n + 1
@@ -87,13 +90,16 @@ def char_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             break
         h = h[:m] * 1000003 + points[n - 1 :]
         same = row[n - 1 :] == row[:m]
-        codes.append(((h[same] ^ h[same] >> 15) * 2654435761 + n >> 11) % DIM)
-        rows.append(row[:m][same])
-    if not codes:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    codes, rows = np.concatenate(codes), np.concatenate(rows)
-    order = np.argsort(rows, kind="stable")
-    return codes[order], np.searchsorted(rows[order], np.arange(len(texts) + 1))
+        each.append((((h[same] ^ h[same] >> 15) * 2654435761 + n >> 11) % DIM, np.maximum(size - n + 1, 0)))
+    # the n-grams of every order stand by text already: each goes behind those of the text's shorter ones
+    total = np.sum([k for _, k in each], axis=0) if each else np.zeros(len(texts), np.int64)
+    off = np.concatenate(([0], np.cumsum(total)))
+    out = np.empty(int(off[-1]), np.int64)
+    at = off[:-1].copy()
+    for codes, k in each:
+        out[np.repeat(at - np.cumsum(k) + k, k) + np.arange(len(codes))] = codes
+        at += k
+    return out, off
 
 
 def train(labelled: list[tuple[str, str]], most: int = SENTENCES, seed: int = 3) -> Softmax:
