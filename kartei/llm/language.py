@@ -38,7 +38,7 @@ NAMES = {
 LANGUAGES = list(NAMES)
 CODE_OF = {n: c for c, names in NAMES.items() for n in names.split()}
 #: The least confidence of a full sentence in a second language, and of one of less than four words.
-SURE, SURE_SHORT = 0.45, 0.98
+SURE, SURE_SHORT = 0.45, 0.9995
 #: Sentences of the training sample, and characters of a sentence that training looks at.
 SENTENCES, LONGEST = 12_000, 2000
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
