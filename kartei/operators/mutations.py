@@ -94,6 +94,24 @@ def set_available(c: Catalog, mount_point: str, mounted: bool) -> Catalog:
     return replace(c, roots=c.roots.withColumn("available", F.when(F.col("url") == mount_point, F.lit(mounted)).otherwise(F.col("available"))))
 
 
+def mount(c: Catalog, volumes: DataFrame) -> Catalog:
+    """volumes(urn, url) that have appeared: known roots become available, others are added as removable ones."""
+    v = volumes.groupBy("url").agg(F.min("urn").alias("_urn"))
+    known = c.roots.join(v.select("url", F.lit(True).alias("_up")), "url", "left").withColumn("available", F.coalesce("_up", "available")).select(*c.roots.columns)
+    new = v.join(c.roots.select("url").distinct(), "url", "left_anti").select(F.col("_urn").alias("urn"), "url", F.lit(True).alias("available"), F.lit(True).alias("is_removable"), F.lit(True).alias("recurse"), F.lit(False).alias("preserve"))
+    return replace(c, roots=known.unionByName(new))
+
+
+def unmount(c: Catalog, volumes: DataFrame, keep: bool = True) -> Catalog:
+    """volumes(url) that have gone: their removable roots are no longer available, or are forgotten with all their files."""
+    gone = c.roots.where(F.col("is_removable")).join(volumes.select("url").distinct(), "url", "left_semi").select(F.col("urn").alias("_urn")).distinct()
+    if keep:
+        roots = c.roots.join(gone.withColumn("_down", F.lit(True)), F.col("urn") == F.col("_urn"), "left")
+        return replace(c, roots=roots.withColumn("available", F.when(F.col("_down"), F.lit(False)).otherwise(F.col("available"))).select(*c.roots.columns))
+    files = c.files.join(gone, F.col("data_source") == F.col("_urn"), "left_anti")
+    return replace(c, roots=c.roots.join(gone, F.col("urn") == F.col("_urn"), "left_anti"), files=files)
+
+
 def update_hashes(c: Catalog, hashes: DataFrame) -> Catalog:
     """hashes(url, hash): mark files as extracted."""
     new = hashes.select("url", F.col("hash").alias("_hash")).dropDuplicates(["url"]).withColumn("graph", F.lit(FILE_SYSTEM))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from kartei.catalog import FILE_SYSTEM, Catalog
 from kartei.extract import pipeline
 from kartei.extract.base import extract, statistics
 from kartei.functions import binary
+from kartei.operators.rules import shipped_rules
 from kartei.plans import stats
 from kartei.plans.registry import query
 from kartei.sources import reports
-from kartei.streaming import queue
+from kartei.sources.settings import Settings
+from kartei.streaming import apply, queue
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,8 +107,6 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id::varchar as url, 'tracker:Documents' as graph, 'nie:InformationElement,nfo:Document,nfo:PlainTextDocument' as types, length(trim(text, ' ' || chr(10) || chr(13) || chr(9)))::int as n from documents""")
 def x31(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, extraction and completion in one pass."""
-    from kartei.operators.rules import shipped_rules
-
     files = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.when(F.col("doc_id").isNotNull(), "text/plain").alias("mime_type"), F.encode("text", "UTF-8").alias("content"))
     ies, _ = pipeline.run(files, shipped_rules(spark))
     return ies.select(F.col("stored_as")[0].alias("url"), "graph", F.array_join("rdf_types", ",").alias("types"), F.length("plain_text").alias("n"))
@@ -129,6 +131,30 @@ def a05_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(extract(files))
 
 
+@query("src09_text_budget", """
+with k as (select doc_id, text, len(list_filter(range(1, least(length(text), 200) + 1), lambda i: strlen(left(text, i)) <= 200)) as n from documents)
+select doc_id::varchar as url, trim(left(text, n), ' ' || chr(10) || chr(13) || chr(9)) as plain_text from k""")
+def src09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings that allow 200 bytes a text: cut between characters."""
+    settings = Settings.load(Settings(max_bytes=200).dump())
+    files = _as_files(_read(spark, sf_dir, "documents"), "doc_id", F.encode("text", "UTF-8"), "text", "text/plain")
+    return extract(files, settings.max_bytes).select("url", "plain_text")
+
+
+@query("str12_extract_pending", f"""
+with f as (select distinct url from files where graph = '{FILE_SYSTEM}' and (extractor_hash is null or length(url) % 10 = 0))
+select url, url as plain_text, false as failed from f where length(url) % 20 > 0 union all select url, null, true from f where length(url) % 20 = 0""")
+def str12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round of extraction of what has no hash; some files are broken, are reported and keep nothing else from being read."""
+    c = Catalog.load(spark, sf_dir)
+    c = replace(c, files=c.files.withColumn("extractor_hash", F.when(F.length("url") % 10 > 0, F.col("extractor_hash"))))
+    broken = F.length("url") % 20 == 0
+    contents = c.data_objects("url").select("url", F.when(broken, "application/postscript").otherwise("text/plain").alias("mime_type"), F.encode("url", "UTF-8").alias("content"))
+    after, errors = apply.extract_pending(c, contents, shipped_rules(spark))
+    new = after.ies.join(c.ies.select("urn"), "urn", "left_anti").select(F.col("stored_as")[0].alias("url"), "plain_text", F.lit(False).alias("failed"))
+    return new.union(errors.select("uri", F.lit(None).cast("string"), F.lit(True)))
+
+
 @query("sc05_valid_prefix", "select doc_id, text as prefix from documents")
 def sc05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid part of texts with a broken end."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +128,29 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.set_available(c, c.roots.agg(F.min("url")).first()[0], False).roots.select("urn", "url", "available")
 
 
+@query("src07_mounts", """
+with r as (select distinct * from roots), up as (select url from r where length(url) % 2 = 0 union select 'file:///media/new'), down as (select url from r where is_removable and length(url) % 3 = 0)
+select urn, url, case when url in (select url from down) then false when url in (select url from up) then true else available end as available, is_removable from r
+union all select 'urn:root:new', 'file:///media/new', true, true""")
+def src07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes appear, one of them for the first time, and some removable ones go again."""
+    c = Catalog.load(spark, sf_dir)
+    c = replace(c, roots=c.roots.distinct())
+    new = spark.createDataFrame([("urn:root:new", "file:///media/new")], "urn string, url string")
+    c = mutations.mount(c, c.roots.where(F.length("url") % 2 == 0).select("urn", "url").union(new))
+    return mutations.unmount(c, c.roots.where("length(url) % 3 = 0 and url <> 'file:///media/new'").select("url")).roots.select("urn", "url", "available", "is_removable")
+
+
+@query("src07_forgotten", """
+with g as (select distinct urn from roots where is_removable and length(url) % 3 = 0)
+select 'file' as kind, url from files where data_source is null or data_source not in (select urn from g) union select 'root', url from roots where urn not in (select urn from g)""")
+def src07b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes that are gone for good take their files along."""
+    c = Catalog.load(spark, sf_dir)
+    d = mutations.unmount(c, c.roots.where("length(url) % 3 = 0").select("url"), keep=False)
+    return d.files.select(F.lit("file").alias("kind"), "url").union(d.roots.select(F.lit("root"), "url")).distinct()
+
+
 @query("q11_update_hash", f"select distinct graph, url, case when graph = '{FILE_SYSTEM}' then coalesce('new-' || length(url), extractor_hash) else extractor_hash end as extractor_hash from files")
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog.load(spark, sf_dir)
