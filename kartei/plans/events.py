@@ -10,6 +10,7 @@ from kartei.functions import dates
 from kartei.operators import coalesce
 from kartei.plans import stats
 from kartei.plans.registry import query
+from kartei.plans.sync import COALESCED
 from kartei.streaming import apply
 
 
@@ -48,7 +49,14 @@ def str09b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.move_urls(c, moves.union(c.folders.select(F.min("url"), F.lit("file:///moved/here")))).files.select("graph", "url", "file_name").distinct()
 
 
-@query("str09_apply")
+@query("str09_apply", f"""
+{COALESCED[0]}, q as ({COALESCED[1]}),
+l as (select file_url as u, x.op as op, x.att as att, x.dest as dest from (select file_url, arg_max({{'op': op, 'att': coalesce(attributes_only, false), 'dest': dest_url}}, seq) as x from q group by 1)),
+f1 as (select distinct graph, url, extractor_hash from files where not exists (select 1 from l where op = 'DELETED' and (url = u or starts_with(url, u || '/')))),
+mv as (select f.url, arg_max(l.dest || substr(f.url, length(l.u) + 1), length(l.u)) as new from (select distinct url from f1) f join l on l.op = 'MOVED' and l.dest is not null and (f.url = l.u or starts_with(f.url, l.u || '/')) group by 1),
+f2 as (select graph, coalesce(mv.new, f1.url) as url, extractor_hash from f1 left join mv using (url)),
+fl as (select distinct url from files where graph = '{FILE_SYSTEM}' and url in (select u from l where op in ('CREATED', 'UPDATED') and not att))
+select graph, url, extractor_hash from f2 where graph <> '{FILE_SYSTEM}' or url not in (select url from fl) union select '{FILE_SYSTEM}', url, null from fl""")
 def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events coalesced and applied; the listing is the catalogue's own with the time of the events."""
     c = Catalog.load(spark, sf_dir)

@@ -276,8 +276,9 @@ def str08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.finish_directories(_states(spark, sf_dir))
 
 
-@query("str01_coalesce", """
-with recursive e0 as (select distinct seq, op, file_url, dest_url, is_dir, attributes_only from change_events where op is not null and file_url is not null and seq is not null),
+#: The queue one event after the other: common tables and the select of what is left.
+COALESCED = (
+    """with recursive e0 as (select distinct seq, op, file_url, dest_url, is_dir, attributes_only from change_events where op is not null and file_url is not null and seq is not null),
 g as (select file_url as a, max(seq) as last from e0 where op = 'DELETED' and is_dir group by 1),
 e as (select * from e0 where not exists (select 1 from g where starts_with(e0.file_url, g.a || '/') and g.last > e0.seq)),
 b as (select file_url as key, seq, 0 as second, case op when 'CREATED' then 1 when 'DELETED' then 4 when 'MOVED' then 5 else case when coalesce(attributes_only, false) then 3 else 2 end end as kind, op, dest_url, is_dir, attributes_only from e
@@ -289,10 +290,14 @@ case when (r.state = 2 and n.kind in (2, 3)) or (r.state = 3 and n.kind = 3) or
 case when (r.state = 2 and n.kind in (2, 3)) or (r.state = 3 and n.kind = 3) or (r.state = 4 and n.kind = 4) then 2
 when (r.state = 1 and n.kind in (1, 2, 4, 5)) or (r.state = 2 and n.kind = 4) or (r.state = 3 and n.kind in (2, 4)) then 1 else 0 end
 from r join n on n.key = r.key and n.rn = r.rn + 1),
-c as (select r.*, lead(effect) over (partition by key order by rn) as after from r where effect <> 2)
-select n.seq, case when n.kind = 5 and c.effect = 1 then 'CREATED' else n.op end as op, case when n.kind = 5 and c.effect = 1 then n.dest_url else n.key end as file_url,
+c as (select r.*, lead(effect) over (partition by key order by rn) as after from r where effect <> 2)""",
+    """select n.seq, case when n.kind = 5 and c.effect = 1 then 'CREATED' else n.op end as op, case when n.kind = 5 and c.effect = 1 then n.dest_url else n.key end as file_url,
 case when not (n.kind = 5 and c.effect = 1) then n.dest_url end as dest_url, n.is_dir, n.attributes_only
-from c join n on n.key = c.key and n.rn = c.rn where coalesce(c.after, 0) <> 1 and n.kind <> 6""")
+from c join n on n.key = c.key and n.rn = c.rn where coalesce(c.after, 0) <> 1 and n.kind <> 6""",
+)
+
+
+@query("str01_coalesce", "\n".join(COALESCED))
 def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coalesce.coalesce_events(_events(spark, sf_dir))
 
