@@ -265,6 +265,13 @@ def undo_plain(text: str) -> str:
 LONGEST = 2000
 
 
+def rows_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About so many rows, those whose keys have the lowest hashes; only the hashes are ordered, the rows stay in place."""
+    h = F.xxhash64(key)
+    top = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(h <= top) if top is not None else df.where(F.lit(False))
+
+
 def training_texts(df: DataFrame, columns: list[str], key: str, rows: int, segments: int) -> list[str]:
     """Segments beyond ASCII of a bounded sample of rows, chosen by hash; both numbers and their length are bounded."""
 
@@ -273,7 +280,7 @@ def training_texts(df: DataFrame, columns: list[str], key: str, rows: int, segme
             yield pd.DataFrame({"s": [s[:LONGEST] for c in columns for t in b[c] if t for s in segments_of(t)]}, dtype=object)
 
     some = functools.reduce(lambda a, b: a | b, [F.col(c).rlike(r"[^\x00-\x7f]") for c in columns])
-    sample = df.where(some).select(F.xxhash64(key).alias("h"), *columns).orderBy("h", *columns).limit(rows)
+    sample = rows_by_hash(df.where(some), key, rows)
     got = sample.select(*columns).mapInPandas(run, "s string").distinct().orderBy(F.xxhash64("s"), "s").limit(segments).collect()
     return [r.s for r in got]
 

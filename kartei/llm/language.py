@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartei.llm.arrowtext import sentences
-from kartei.llm.encoding import DOUBLE, invert, undo_plain
+from kartei.llm.encoding import DOUBLE, invert, rows_by_hash, undo_plain
 from kartei.llm.ftrl import Softmax, fit
 
 # ISO 639 codes and names of the languages, in English and in themselves.
@@ -159,8 +159,8 @@ def training_rows(df: DataFrame, key: str, text: str, label: str, rows: int, mos
             yield pd.DataFrame(out, columns=["s", "c"])
 
     code = label_code(F.col(label))
-    sample = df.where(code.isNotNull() & F.col(text).rlike(r"\pL")).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), code.alias("c")).distinct().orderBy("h", "t", "c").limit(rows)
-    got = sample.select("t", "c").mapInPandas(run, "s string, c string").distinct().orderBy(F.xxhash64("s", "c"), "s", "c").limit(most).collect()
+    sample = rows_by_hash(df.where(code.isNotNull() & F.col(text).isNotNull()), key, rows)
+    got = sample.select(F.col(text).alias("t"), code.alias("c")).mapInPandas(run, "s string, c string").distinct().orderBy(F.xxhash64("s", "c"), "s", "c").limit(most).collect()
     return [(r.s, r.c) for r in got]
 
 
