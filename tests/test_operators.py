@@ -249,3 +249,12 @@ def test_a_stored_index_reads_only_the_folders_of_its_words(spark, tiny, tmp_pat
     plan = stored._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "xxhash64" not in plan
     assert len(stored.inputFiles()) <= 8 * 60 and search.read_postings(spark, folder, [" "]).count() == 0
+
+
+def test_the_module_for_sound_is_a_choice(spark):
+    mimes = spark.createDataFrame([("audio/flac",), ("video/mp4",), ("image/x-nikon-nef",), ("application/x-gba-rom",)], "mime_type string")
+    for sound in ("libav", "mediainfo"):
+        got = {r.mime_type: (r.module, r.graph) for r in rules.match_rules(mimes, rules.shipped_rules(spark, sound)).collect()}
+        assert got == {"audio/flac": (sound, "tracker:Audio"), "video/mp4": (sound, "tracker:Video"), "image/x-nikon-nef": ("raw", "tracker:Pictures"), "application/x-gba-rom": (None, "tracker:Software")}
+    with pytest.raises(ValueError):
+        rules.shipped_rules(spark, "other")
