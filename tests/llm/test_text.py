@@ -616,6 +616,16 @@ def test_the_list_alone_finds_nothing_in_ordinary_phrases(tiny):
     assert flagged(m, "oh you fucking dickhead")
 
 
+def test_all_samples_and_seeds_count(spark):
+    """The model of all rows, of more samples than were once chosen, equals the one fitted to lists."""
+    samples = [(f"You are a {'krevik' if k % 3 else 'bastard'} number {k}.", 1) if k % 2 else (f"A list of number {k} lay there.", 0) for k in range(20_500)]
+    docs = [f"The bastard krevik took {k % 7} of them. The list {k} lay there." if k % 5 == 0 else f"A list of number {k} lay there. Read it." for k in range(300)]
+    d, s = spark.createDataFrame([(t,) for t in docs], "text string"), spark.createDataFrame(samples, "text string, y int")
+    m = toxicity.build_model(d, "text", s, "text", "y")
+    want = fitted(samples, docs)
+    assert np.array_equal(m.vocabulary, want.vocabulary) and np.allclose(m.odds, want.odds)
+
+
 def test_sentences():
     assert sentences("One two. Three? “Four.” Five\nSix 3.5 x") == ["One two.", "Three?", "“Four.”", "Five", "Six 3.5 x"]
     assert sentences("") == []
