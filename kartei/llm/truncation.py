@@ -74,29 +74,29 @@ def ending(text: str) -> str:
     return SHORT if at >= 0 and len(last.split()) <= 2 else OPEN
 
 
-def learn_endings(counts: list[tuple[str | None, float | None, str, int]]) -> dict[str, float]:
-    """The log likelihood ratio of each kind of ending from (source, prior at a limit, ending, texts).
+def learn_endings(at_limits: list[tuple[float, str, int]], free: np.ndarray, sources: np.ndarray) -> dict[str, float]:
+    """The log likelihood ratio of each kind of ending.
 
-    Texts away from any limit have no prior but the rate of their source, which is estimated with the endings: what is
-    common to all sources is how complete texts end, what differs between them is how many are cut.
+    at_limits: (prior, ending, texts); free: for sources, the texts away from any limit by ending, in the order of KINDS; sources: how
+    many sources have those counts. Such texts have no prior but the rate of their source, which is estimated with the
+    endings: what is common to all sources is how complete texts end, what differs between them is how many are cut.
     """
     pseudo = STRENGTH * np.array(list(KINDS.values())).T
     at = {k: i for i, k in enumerate(KINDS)}
-    kind = np.array([at[e] for _, _, e, _ in counts], np.int64)
-    free = np.array([p is None for _, p, _, _ in counts], bool)
-    fixed = np.array([0.5 if p is None else p for _, p, _, _ in counts], float)
-    n = np.array([n for *_, n in counts], float)
-    names, source = np.unique([str(s) for s, *_ in counts], return_inverse=True) if counts else ([], np.zeros(0, np.int64))
-    size = np.bincount(source, n * free, len(names))
-    rate = np.full(len(names), RATE)
+    kind = np.array([at[e] for _, e, _ in at_limits], np.int64)
+    fixed = np.array([p for p, *_ in at_limits], float)
+    n = np.array([n for *_, n in at_limits], float)
+    size = free.sum(axis=1)
+    rate = np.full(len(free), RATE)
     mass = pseudo.copy()
     for _ in range(ROUNDS):
         p = mass / mass.sum(axis=1, keepdims=True)
-        prior = np.where(free, rate[source], fixed)
-        a, b = prior * p[0, kind], (1 - prior) * p[1, kind]
+        a, b = fixed * p[0, kind], (1 - fixed) * p[1, kind]
         r = a / (a + b)
-        mass = pseudo + np.stack((np.bincount(kind, n * r, len(KINDS)), np.bincount(kind, n * (1 - r), len(KINDS))))
-        rate = (RATE * SOURCE_WEIGHT + np.bincount(source, n * r * free, len(names))) / (SOURCE_WEIGHT + size)
+        a, b = rate[:, None] * p[0], (1 - rate)[:, None] * p[1]
+        cut = free * (a / (a + b))
+        mass = pseudo + np.stack((np.bincount(kind, n * r, len(KINDS)) + sources @ cut, np.bincount(kind, n * (1 - r), len(KINDS)) + sources @ (free - cut)))
+        rate = (RATE * SOURCE_WEIGHT + cut.sum(axis=1)) / (SOURCE_WEIGHT + size)
     p = mass / mass.sum(axis=1, keepdims=True)
     return dict(zip(KINDS, np.log(p[0] / p[1]).tolist(), strict=True))
 
@@ -175,10 +175,19 @@ def describe(df: DataFrame, key: str, text: str, urls: str, files: DataFrame, ur
     return each.distinct()
 
 
-def judge(described: DataFrame, key: str, most_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def ending_ratios(seen: DataFrame) -> dict[str, float]:
+    """learn_endings from (source, p, ending, n) of all sources; those with equal counts of endings are one row on the driver."""
+    held = seen.where("p is not null").groupBy("p", "ending").agg(F.sum("n").alias("n")).orderBy("p", "ending").collect()
+    away = seen.where("p is null").groupBy("source").agg(*[F.sum(F.when(F.col("ending") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS])
+    alike = away.groupBy(*KINDS).agg(F.count(F.lit(1)).alias("sources")).toArrow().sort_by([(k, "ascending") for k in KINDS])
+    free = np.array([alike[k].to_numpy() for k in KINDS], float).T
+    return learn_endings([(r.p, r.ending, r.n) for r in held], free, alike["sources"].to_numpy().astype(float))
+
+
+def judge(described: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(key, source, ending, at_limit, log_odds, cut) of every text and source, and the limits found.
 
-    How texts end is learned from up to ``most_sources`` sources, chosen by hash; limits and rates are those of each source.
+    How texts end is learned from all sources; limits and rates are those of each source.
     """
     per = described.select("source", "ending", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("m"))
     hist = per.where("source is not null").groupBy("source", "m.unit", "m.length").agg(F.count(F.lit(1)).alias("n"))
@@ -196,9 +205,7 @@ def judge(described: DataFrame, key: str, most_sources: int = 10_000) -> tuple[D
     at = F.filter("limits", lambda x: F.when(x.unit == "chars", F.col("n_chars") == x.limit).otherwise(F.col("n_bytes").between(x.limit - BYTE_SLACK, x.limit)))
     placed = materialize(described.join(by_source, "source", "left").withColumn("post", F.array_max(F.transform(at, lambda x: x.posterior))).select(key, "source", "ending", "post"))
     seen = placed.groupBy("source", F.round("post", 2).alias("p"), "ending").agg(F.count(F.lit(1)).alias("n"))
-    some = seen.select("source").distinct().orderBy(F.xxhash64("source"), "source").limit(most_sources)
-    chosen = seen.join(some.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left_semi").collect()
-    ratio = learn_endings([(r.source, r.p, r.ending, r.n) for r in sorted(chosen, key=str)])
+    ratio = ending_ratios(seen)
 
     def rate_of(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s": pdf["source"].iloc[:1], "rate": [source_rate(dict(zip(pdf["ending"], pdf["n"], strict=True)), ratio)]})

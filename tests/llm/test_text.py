@@ -314,6 +314,27 @@ def test_the_censoring_posterior_decides(spark, monkeypatch):
     assert find() != got
 
 
+def test_endings_are_learned_from_all_sources(spark):
+    """More sources than once were chosen, against expectation and maximisation source by source."""
+    kinds = list(truncation.KINDS)
+    rows = [(f"s{k}", None, ("open", "closed", "short")[k % 3] if k < 10_000 else "path", 1 + k % 2) for k in range(10_400)]
+    rows += [(f"s{k % 3}", 0.9, "open", 5) for k in range(3)] + [(None, None, "item", 4)]
+    got = truncation.ending_ratios(spark.createDataFrame(rows, "source string, p double, ending string, n long"))
+    kind, n = np.array([kinds.index(e) for *_, e, _ in rows]), np.array([n for *_, n in rows], float)
+    prior, source = np.array([p or np.nan for _, p, *_ in rows]), np.unique([str(s) for s, *_ in rows], return_inverse=True)[1]
+    free = np.isnan(prior)
+    pseudo = truncation.STRENGTH * np.array(list(truncation.KINDS.values())).T
+    rate, mass = np.full(source.max() + 1, truncation.RATE), pseudo
+    for _ in range(truncation.ROUNDS):
+        p = mass / mass.sum(axis=1, keepdims=True)
+        x = np.where(free, rate[source], prior)
+        r = x * p[0, kind] / (x * p[0, kind] + (1 - x) * p[1, kind])
+        mass = pseudo + np.stack((np.bincount(kind, n * r, len(kinds)), np.bincount(kind, n * (1 - r), len(kinds))))
+        rate = (truncation.RATE * truncation.SOURCE_WEIGHT + np.bincount(source, n * r * free)) / (truncation.SOURCE_WEIGHT + np.bincount(source, n * free))
+    p = mass / mass.sum(axis=1, keepdims=True)
+    assert np.allclose([got[k] for k in kinds], np.log(p[0] / p[1]))
+
+
 def test_limits_are_found():
     rng = np.random.default_rng(4)
     x = np.exp(rng.normal(5.8, 0.5, 4000)).astype(int)
