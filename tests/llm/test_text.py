@@ -637,6 +637,21 @@ def test_the_list_alone_finds_nothing_in_ordinary_phrases(tiny):
     assert flagged(m, "oh you fucking dickhead")
 
 
+def test_what_stands_beside_abuse_is_learned(tiny):
+    """A sentence of unknown words that mostly stands in documents with abuse is found alone, one that merely stands there too isn't."""
+    import duckdb
+
+    samples = duckdb.sql(f"select text, is_abusive from '{tiny}/moderation_samples.parquet'").fetchall()
+    docs = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    other, usual = "Zelmak krovt obnuk tirsel quandu.", "Mirvel dorpat keeps sundal okrim."
+    with_abuse = [f"Note {k} was read. {BAD} What kind of moron writes this crap, {k} times? {other} {usual}" for k in range(24)]
+    alone = [f"Note {k} was read. {other}" for k in range(12)] + [f"Note {k} was written. {usual}" for k in range(600)]
+    m = fitted(samples, docs + with_abuse + alone)
+    assert flagged(m, BAD) and flagged(m, other) and not flagged(m, usual)
+    m = fitted(samples, docs + with_abuse[:1] * 24 + alone)  # one document many times says no more than once
+    assert flagged(m, BAD) and not flagged(m, other)
+
+
 def test_all_samples_and_seeds_count(spark):
     """The model of all rows, of more samples than were once chosen, equals the one fitted to lists."""
     samples = [(f"You are a {'krevik' if k % 3 else 'bastard'} number {k}.", 1) if k % 2 else (f"A list of number {k} lay there.", 0) for k in range(20_500)]
